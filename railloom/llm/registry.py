@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from railloom.llm import bpe, token_files
+from railloom.llm import bpe, line_dedup, mixing, token_files
 from railloom.workspace import Workspace
 
 
@@ -14,6 +15,13 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weights 5, 2, 1 by source, at 1.5 times their size and 2 epochs at most."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    made = mixing.mix(docs, Workspace(spark, "op3"), lambda i: (5, 2, 1)[i % 3], share=1.5, most_epochs=2.0)
+    return made.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token files, read back: place, length and checksum of each document's ids."""
     with open(_vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
@@ -28,5 +36,34 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), codec)
 
 
-QUERIES = {"op5_token_files": op5_token_files, "op8_bpe_round_trip": op8_bpe_round_trip}
-ORACLES: dict[str, str] = {}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that five or more documents share."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    made = line_dedup.drop_lines(docs, Workspace(spark, "op10"))
+    return made.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH l AS (
+  SELECT doc_id, u.pos, u.line,
+         translate(trim(u.line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents) d,
+       LATERAL (SELECT unnest(lines) AS line, generate_subscripts(lines, 1) AS pos) u
+), c AS (
+  SELECT k, max(doc_id) AS holder FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5
+), m AS (
+  SELECT l.*, c.k IS NOT NULL AND l.doc_id <> c.holder AS lost FROM l LEFT JOIN c ON l.k = c.k
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+QUERIES = {
+    "op3_mix_sources": op3_mix_sources,
+    "op5_token_files": op5_token_files,
+    "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op10_line_dedup": op10_line_dedup,
+}
+ORACLES = {"op10_line_dedup": OP10_SQL}
