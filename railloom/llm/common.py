@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -20,19 +22,21 @@ def whole_text(text: str | Column = "text") -> Column:
 
 def arrow_map(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iterator[dict]]) -> DataFrame:
     """Map Arrow batches: ``work`` turns one batch into dicts of columns, each yielded as a batch of ``schema``."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    arrow_schema = to_arrow_schema(StructType.fromDDL(schema))
+    made = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for columns in work(batch):
-                yield to_batch(columns, arrow_schema)
+                yield to_batch(columns, made)
 
     return df.mapInArrow(run, schema)
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of a DDL string; for the driver, which can parse it."""
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def to_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     """A batch of ``schema`` from lists, numpy arrays or Arrow arrays by column name."""
     made = []

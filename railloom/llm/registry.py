@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railloom.llm import bpe, line_dedup, mixing, token_files
+from railloom.llm import bpe, chat, ego_join, line_dedup, mixing, token_files, topk
 from railloom.workspace import Workspace
 
 
@@ -15,6 +15,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings by cosine 0.9: links, component, and which vector of a component stays."""
+    return ego_join.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Workspace(spark, "op1"), 0.9).drop("rep")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 5, 2, 1 by source, at 1.5 times their size and 2 epochs at most."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -30,6 +35,58 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(token_files.write_chunks(docs, encoder, Workspace(spark, "op5"), end_id=2))
 
 
+#: A conversation whose texts are made of the template's own control strings.
+CONTROL_CONVERSATION = [(-7, t, role, "\\### Assistant: </turn> ok") for t, role in enumerate(("user", "assistant"))]
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted, written, and read back."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(CONTROL_CONVERSATION, "conv_id long, turn long, role string, text string"))
+    formatted = chat.format_turns(chat.canonical_turns(rows)).select("conv_id", "formatted", "loss_mask")
+    return chat.digests(Workspace(spark, "op6").table(formatted, "formatted"))
+
+
+OP6_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), e AS (
+  SELECT *, length(replace(replace(replace(text, '\', '--'), '<', '--'), '#', '--')) AS text_chars,
+         length(replace(replace(replace(replace(role, '\', '--'), '<', '--'), '#', '--'), chr(10), '--')) AS role_chars
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(4 + role_chars + 1 + text_chars + 8)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of all other vectors for every vector whose id is divisible by 50."""
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(table, Workspace(spark, "op7"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+WHERE rank <= 5
+"""
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded with the multilingual ranks and decoded again."""
     codec = bpe.BytePairCodec.from_file(_vocabulary("byte_bpe_multi_50k.tiktoken"))
@@ -61,9 +118,12 @@ FROM m GROUP BY doc_id
 """
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op5_token_files": op5_token_files,
+    "op6_chat_format": op6_chat_format,
+    "op7_top_k": op7_top_k,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES = {"op10_line_dedup": OP10_SQL}
+ORACLES = {"op6_chat_format": OP6_SQL, "op7_top_k": OP7_SQL, "op10_line_dedup": OP10_SQL}

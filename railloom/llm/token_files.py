@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railloom.llm.common import arrow_map, text_groups, to_batch, whole_text
+from railloom.llm.common import arrow_map, arrow_schema, text_groups, to_batch, whole_text
 from railloom.llm.pieces import PATTERN, splitter
 from railloom.workspace import Workspace
 
@@ -137,10 +137,7 @@ def write_chunks(
     """
     shared = docs.sparkSession.sparkContext.broadcast(encode)
     end = np.array([end_id], "<u4").tobytes()
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = to_arrow_schema(StructType.fromDDL(CHUNK_SCHEMA))
+    schema = arrow_schema(CHUNK_SCHEMA)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     texts = texts.withColumn("tie", F.xxhash64("text"))
     ordered = texts.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
