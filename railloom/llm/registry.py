@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railloom.llm import bpe, chat, ego_join, line_dedup, mixing, token_files, topk
+from railloom.llm import bpe, chat, ego_join, line_dedup, mixing, quality, token_files, topk
 from railloom.workspace import Workspace
 
 
@@ -93,6 +93,12 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), codec)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity under the trusted text, its language's threshold, and whether it stays."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return quality.classify(docs, labels, Workspace(spark, "op9"), with_docs=False)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that five or more documents share."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -124,6 +130,7 @@ QUERIES = {
     "op6_chat_format": op6_chat_format,
     "op7_top_k": op7_top_k,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {"op6_chat_format": OP6_SQL, "op7_top_k": OP7_SQL, "op10_line_dedup": OP10_SQL}
