@@ -218,34 +218,40 @@ def thresholds(scores: DataFrame, quantile: float) -> tuple[DataFrame, int | Non
     return cut(steps, "__lang"), pooled.most if pooled else None
 
 
-def classify(docs: DataFrame, labels: DataFrame, workspace: Workspace, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_docs: bool = True) -> DataFrame:
-    """``docs`` (or, without ``with_docs``, their ids alone) with perplexity, threshold and kept.
-
-    ``labels`` has ``id_col``, quality and toxic: what is labelled good is the trusted text.
-    """
+def _judge(docs: DataFrame, labels: DataFrame, workspace: Workspace, quantile: float, id_col: str, text_col: str, lang_col: str, with_docs: bool) -> DataFrame:
+    """``docs``, or only their ids, with __perplexity, __threshold and __kept."""
     trusted = workspace.table(trusted_ids(labels, id_col), "trusted")
     ids, text, lang = F.col(f"`{id_col}`"), whole_text(text_col), F.col(f"`{lang_col}`")
     texts = docs.select(ids.alias("__id"), text.alias("text")).join(trusted, "__id", "left_semi").select("text")
     levels = train(count_ngrams(texts), workspace)
     if not len(levels[-1]["code"]):
-        nothing = {"perplexity": F.lit(None).cast("double"), "threshold": F.lit(None).cast("double"), "kept": F.lit(True)}
+        nothing = {"__perplexity": F.lit(None).cast("double"), "__threshold": F.lit(None).cast("double"), "__kept": F.lit(True)}
         return (docs if with_docs else docs.select(ids)).withColumns(nothing)
     scorer = Scorer(levels)
     scores = with_nats(docs.select(ids.alias("__id"), lang.alias("__lang"), text.alias("text")), scorer, keep=["__id", "__lang"])
     scores = workspace.table(scores, "scores")
     by_lang, pooled = thresholds(scores.join(trusted, "__id", "left_semi"), quantile)
-    by_lang = workspace.table(by_lang, "thresholds").withColumnRenamed("__lang", "__l")  # a row per language
+    by_lang = workspace.table(by_lang.select(F.col("__lang").alias("__l"), F.col("most").alias("__most")), "thresholds")  # a row per language
     scored = with_nats(docs, scorer, text_col) if with_docs else scores.withColumnRenamed("__id", id_col).withColumnRenamed("__lang", lang_col)
     joined = scored.join(F.broadcast(by_lang), F.col(f"`{lang_col}`").eqNullSafe(F.col("__l")), "left")
-    most = F.coalesce(F.col("most"), F.lit(pooled))
-    made = {
-        "perplexity": F.exp("__nats"), "threshold": F.exp(most / STEPS),
-        "kept": F.coalesce(F.ceil(F.col("__nats") * STEPS) <= most, F.lit(True)),
-    }
-    made = joined.withColumns(made).drop("__nats", "__l", "most")
-    return made if with_docs else made.select(F.col(f"`{id_col}`"), "perplexity", "threshold", "kept")
+    most = F.coalesce(F.col("__most"), F.lit(pooled))
+    made = {"__perplexity": F.exp("__nats"), "__threshold": F.exp(most / STEPS), "__kept": F.coalesce(F.ceil(F.col("__nats") * STEPS) <= most, F.lit(True))}
+    made = joined.withColumns(made).drop("__nats", "__l", "__most")
+    return made if with_docs else made.drop(lang_col)
+
+
+def classify(docs: DataFrame, labels: DataFrame, workspace: Workspace, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_docs: bool = True) -> DataFrame:
+    """``docs`` (or, without ``with_docs``, their ids alone) with perplexity, threshold and kept.
+
+    ``labels`` has ``id_col``, quality and toxic: what is labelled good is the trusted text.
+    Columns of ``docs`` by those three names are replaced.
+    """
+    made = _judge(docs, labels, workspace, quantile, id_col, text_col, lang_col, with_docs)
+    names = ("perplexity", "threshold", "kept")
+    return made.select(*(F.col(f"`{c}`") for c in made.columns if c not in names and not c.startswith("__")), *(F.col(f"__{c}").alias(c) for c in names))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, workspace: Workspace, **more) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, workspace: Workspace, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents that the classifier keeps, with their own columns."""
-    return classify(docs, labels, workspace, **more).where("kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    made = _judge(docs, labels, workspace, quantile, id_col, text_col, lang_col, True)
+    return made.where("__kept").select(*(F.col(f"`{c}`") for c in docs.columns))
