@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railloom.llm import bpe, chat, ego_join, line_dedup, mixing, quality, token_files, topk
+from railloom.llm import bpe, chat, ego_join, line_dedup, mixing, order_minhash, quality, token_files, topk
 from railloom.workspace import Workspace
 
 
@@ -27,6 +27,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by edit similarity 0.8 over words: their group's smallest id, and which one stays."""
+    return order_minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), Workspace(spark, "op4"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token files, read back: place, length and checksum of each document's ids."""
     with open(_vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
@@ -126,6 +131,7 @@ FROM m GROUP BY doc_id
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op3_mix_sources": op3_mix_sources,
+    "op4_order_minhash": op4_order_minhash,
     "op5_token_files": op5_token_files,
     "op6_chat_format": op6_chat_format,
     "op7_top_k": op7_top_k,
