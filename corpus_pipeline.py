@@ -1,8 +1,78 @@
-"""The corpus pipeline: five stages over documents."""
+"""The corpus pipeline: documents judged, freed of shared lines, deduplicated, mixed and encoded.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all documents that the one before has kept. All
+stages but the last return the columns of documents; ``run`` writes each result and reads it again.
+A document that line dedup leaves empty stays a row until near-dedup finds it a copy of the others.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from railloom.llm import bpe, line_dedup, mixing, order_minhash, quality
+from railloom.llm.registry import vocabulary
+from railloom.workspace import Workspace
+
+
+def _as(docs: DataFrame, made: DataFrame) -> DataFrame:
+    return made.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity their language's trusted text allows."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_good(docs, labels, Workspace(spark, "stage1"))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the lines that others share; n_chars follows the text."""
+    made = line_dedup.drop_lines(docs, Workspace(spark, "stage2"))
+    if "n_chars" in docs.columns:
+        made = made.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return _as(docs, made)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    others = tuple(c for c in docs.columns if c != "doc_id")
+    made = order_minhash.near_duplicates(docs, Workspace(spark, "stage3"), keep=others)
+    return _as(docs, made.where("kept"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target takes it: not at all, once or twice."""
+    others = tuple(c for c in docs.columns if c != "doc_id")
+    made = mixing.mix(docs, Workspace(spark, "stage4"), lambda i: (5, 2, 1)[i % 3], share=1.5, most_epochs=2.0, keep=others)
+    return _as(docs, made.withColumn("__n", F.explode(F.array_repeat(F.lit(1), F.col("repeats")))))
+
+
+def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix encoded and decoded again: lengths and digests."""
+    codec = bpe.BytePairCodec.from_file(vocabulary("byte_bpe_multi_50k.tiktoken"))
+    return bpe.round_trip_digests(docs, codec)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup_stage),
+    ("near dedup", near_dedup),
+    ("mix sources", mix_sources),
+    ("bpe round trip", bpe_round_trip),
+]
+
+#: SQL cannot state a language model's judgement; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    workspace = Workspace(spark, "pipeline")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = workspace.table(docs, f"after_{i}")
+            if i:
+                workspace.drop(f"after_{i - 1}")
+    return docs

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railloom.llm import bpe, chat, ego_join, line_dedup, mixing, order_minhash, quality, token_files, topk
+from railloom.llm import bpe, chat, ego_join, html_extract, line_dedup, mixing, order_minhash, quality, token_files, topk
 from railloom.workspace import Workspace
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -20,6 +21,12 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ego_join.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Workspace(spark, "op1"), 0.9).drop("rep")
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    made = html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return made.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 5, 2, 1 by source, at 1.5 times their size and 2 epochs at most."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -34,7 +41,7 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token files, read back: place, length and checksum of each document's ids."""
-    with open(_vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
         encoder = token_files.LibraryEncoder(f.read())
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return token_files.read_digests(token_files.write_chunks(docs, encoder, Workspace(spark, "op5"), end_id=2))
@@ -94,7 +101,7 @@ WHERE rank <= 5
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded with the multilingual ranks and decoded again."""
-    codec = bpe.BytePairCodec.from_file(_vocabulary("byte_bpe_multi_50k.tiktoken"))
+    codec = bpe.BytePairCodec.from_file(vocabulary("byte_bpe_multi_50k.tiktoken"))
     return bpe.round_trip_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), codec)
 
 
@@ -130,6 +137,7 @@ FROM m GROUP BY doc_id
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_html_extract": op2_html_extract,
     "op3_mix_sources": op3_mix_sources,
     "op4_order_minhash": op4_order_minhash,
     "op5_token_files": op5_token_files,
