@@ -7,7 +7,8 @@ a whole number of times, and a seeded sample of its documents once more for the
 
 The sample takes documents in the order of a seeded hash while they fit, passes over the one that
 does not and goes on with those that still can, and at last takes the one remaining document whose
-size is nearest to what is missing, if that comes nearer to the target. Every choice is a comparison
+size is nearest to what is missing, if that comes nearer to the target. A source that is still off,
+as one of few documents may be, tries other seeded orders and keeps the best. Every choice is a comparison
 with a few numbers per source, so no source gathers in one task.
 
 Null texts have size 0, and so do empty ones. A null source is a source, last in order. A source
@@ -32,6 +33,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BIN_BITS = 12
 #: A source is near enough when this share of its target is missing; further rounds only refine.
 NEAR, ROUNDS = 0.0005, 12
+#: A source that misses its target by more than this share, as one of few documents may, tries other orders.
+CLOSE, TRIES = 0.01, 6
 _PLACE = "struct<__hash: bigint, __row: bigint>"
 _ROUND = f"most: bigint, from_bin: int, after: {_PLACE}, cut_bin: int, last: {_PLACE}"
 
@@ -90,25 +93,45 @@ def mix(
     whole = [min(int(t // s), int(most_epochs)) if s else 0 for t, s in zip(targets, sizes, strict=True)]
     state_schema = (
         f"__source {sized.schema['__source'].dataType.simpleString()}, source_size long, target double, whole int, goal double, "
-        f"rounds array<struct<{_ROUND}>>, now struct<{_ROUND}>"
+        f"try int, one long, rounds array<struct<{_ROUND}>>, now struct<{_ROUND}>"
     )
 
-    def by_source(left: DataFrame, rows: list[dict]) -> DataFrame:
-        """``rows`` has one per source, no more."""
+    def by_source(rows: list[dict], how: str = "inner") -> DataFrame:
+        """Documents with what is known of their source; ``rows`` has one per source, no more."""
         right = spark.createDataFrame(rows, state_schema).withColumnRenamed("__source", "__s")
-        return left.join(F.broadcast(right), left["__source"].eqNullSafe(right["__s"]), "left").drop("__s")
+        found = sized.join(F.broadcast(right), sized["__source"].eqNullSafe(right["__s"]), how).drop("__s")
+        order = F.xxhash64(F.col("try"), F.col("__hash"))
+        return found.withColumn("bin", F.shiftrightunsigned(order, 64 - BIN_BITS).cast("int")).withColumn("place", F.struct(order.alias("__hash"), F.col("__row")))
 
-    sized = sized.withColumn("bin", F.shiftrightunsigned("__hash", 64 - BIN_BITS).cast("int")).withColumn("place", F.struct("__hash", "__row"))
-    state = [
-        {"__source": r[0], "source_size": s, "target": t, "whole": w, "goal": t - w * s, "rounds": [], "now": {"most": s, "from_bin": 0, "after": None, "cut_bin": 0, "last": None}}
+    best = [
+        {"__source": r[0], "source_size": s, "target": t, "whole": w, "goal": t - w * s, "try": 0, "one": None, "rounds": [], "now": None}
         for r, s, t, w in zip(sources, sizes, targets, whole, strict=True)
     ]
+    off = [x["goal"] for x in best]
+    for attempt in range(TRIES):
+        again = [i for i, x in enumerate(best) if off[i] >= 1 and off[i] > (CLOSE if attempt else NEAR) * x["target"]]
+        if not again:
+            break
+        made = _fill([best[i] | {"try": attempt, "one": None, "rounds": []} for i in again], by_source)
+        for i, (x, missing) in zip(again, made, strict=True):
+            if missing < off[i]:
+                best[i], off[i] = x, missing
+    repeats = F.col("whole") + (_sampled() | F.coalesce(F.col("one") == F.col("__row"), F.lit(False))).cast("int")
+    return by_source(best, "left").select(
+        F.col("__id").alias(id_col), F.col("__size").alias("size"), "source_size", "target", repeats.alias("repeats"),
+        (F.col("__size") * repeats).alias("taken"), *(F.col(f"`{c}`") for c in keep),
+    )
+
+
+def _fill(state: list[dict], by_source: Callable[..., DataFrame]) -> list[tuple[dict, float]]:
+    """One try for each source of ``state``: the rounds and the one document more, and the words missing then."""
+    state = [x | {"now": {"most": x["source_size"], "from_bin": 0, "after": None, "cut_bin": 0, "last": None}} for x in state]
     gaps = [x["goal"] for x in state]
     for _ in range(ROUNDS):
         open_ = [i for i, x in enumerate(state) if x["now"]["most"] >= 1 and gaps[i] > NEAR * x["target"]]
         if not open_:
             break
-        found = {r[0]: r for r in _cuts(by_source(sized, [state[i] | {"goal": gaps[i]} for i in open_])).collect()}
+        found = {r[0]: r for r in _cuts(by_source([state[i] | {"goal": gaps[i]} for i in open_])).collect()}
         for i in open_:
             x, r = state[i], found.get(state[i]["__source"])
             if r is None:  # nothing is left that fits
@@ -119,17 +142,15 @@ def mix(
             gaps[i] -= r.got
             after = r.last or (now["after"] if r.cut_bin == now["from_bin"] else None)
             x["now"] = {"most": math.floor(gaps[i]), "from_bin": r.cut_bin, "after": after, "cut_bin": 0, "last": None}
-
-    # The one more document that comes nearest to the goal.
-    left = by_source(sized, [x | {"goal": gap} for x, gap in zip(state, gaps, strict=True)]).withColumn("sampled", _sampled())
-    off = F.abs(F.col("goal") - F.col("__size"))
-    nearest = left.where(~F.col("sampled") & (F.col("goal") > 0) & (off < F.col("goal"))).groupBy("__source").agg(F.min(F.struct(off.alias("off"), "__hash", "__row")).alias("one"))
-    ones = [r.one["__row"] for r in nearest.collect()]
-    repeats = F.col("whole") + (_sampled() | F.col("__row").isin(ones) if ones else _sampled()).cast("int")
-    return by_source(sized, state).select(
-        F.col("__id").alias(id_col), F.col("__size").alias("size"), "source_size", "target", repeats.alias("repeats"),
-        (F.col("__size") * repeats).alias("taken"), *(F.col(f"`{c}`") for c in keep),
-    )
+    away = F.abs(F.col("goal") - F.col("__size"))
+    left = by_source([x | {"goal": gap} for x, gap in zip(state, gaps, strict=True)]).where(~_sampled() & (away < F.col("goal")))
+    nearest = left.groupBy("__source").agg(F.min(F.struct(away.alias("away"), "place")).alias("one"))
+    ones = {r[0]: r.one for r in nearest.collect()}
+    out = []
+    for x, gap in zip(state, gaps, strict=True):
+        one = ones.get(x["__source"])
+        out.append((x | {"one": one.place["__row"]}, one.away) if one else (x, gap))
+    return out
 
 
 def _sampled() -> Column:
