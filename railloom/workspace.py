@@ -36,7 +36,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
+        self.spark = importable(spark)
         self.root = f"{shared_dir(spark)}/railloom/{label}-{uuid.uuid4().hex}"
         self._path(self.root).getFileSystem(self._conf()).deleteOnExit(self._path(self.root))
 
