@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from railloom.llm import bpe, line_dedup, mixing, order_minhash, quality
 from railloom.llm.registry import vocabulary
-from railloom.workspace import Workspace
+from railloom.workspace import Workspace, importable
 
 
 def _as(docs: DataFrame, made: DataFrame) -> DataFrame:
@@ -49,6 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix encoded and decoded again: lengths and digests."""
+    importable(spark)
     codec = bpe.BytePairCodec.from_file(vocabulary("byte_bpe_multi_50k.tiktoken"))
     return bpe.round_trip_digests(docs, codec)
 

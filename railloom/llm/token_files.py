@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,8 +33,8 @@ from railloom.llm.pieces import PATTERN, splitter
 from railloom.workspace import Workspace
 
 CHUNK_IDS = 1 << 16
-#: Distinct pieces that a worker remembers before it starts afresh: about 100 MB.
-MEMO_PIECES = 400_000
+#: Distinct pieces that a worker remembers, about 150 MB; what comes later is asked for again.
+MEMO_PIECES = 600_000
 _HEAD = struct.Struct("<4sBBHI")
 _MAGIC = b"RLBP"
 
@@ -96,6 +97,8 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_str(self.spec)
         self.split = splitter(PATTERN)
         self.memo: dict[str, bytes] = {}
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_id = line[0] if len(line) == 1 else None
 
     def __getstate__(self) -> dict:
         return {k: self.__dict__[k] for k in ("spec", "added", "by_piece")}
@@ -105,7 +108,33 @@ class LibraryEncoder:
         self._ready()
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The library's ids of each piece. Pieces that hold no line feed are asked for many to a text, a line each.
+
+        A line feed is a piece of its own between pieces that are no white space, so it ends every
+        piece and parts the ids; where the parts do not come out right, pieces are asked for one by one.
+        """
+        out: list[bytes] = []
+        for start in range(0, len(pieces), 2048):
+            own = pieces[start : start + 2048]
+            found = array("I", self.tokenizer.encode_batch_fast(["\n".join(own)], add_special_tokens=False)[0].ids)
+            ids = np.frombuffer(found, np.uint32)
+            ends = np.flatnonzero(ids == self.line_id)
+            if len(ends) != len(own) - 1:
+                out += self._library(own)
+                continue
+            raw, edges = found.tobytes(), (4 * ends).tolist()
+            out += [raw[a:b] for a, b in zip([0, *(e + 4 for e in edges)], [*edges, len(raw)], strict=True)]
+        return out
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        spaces = [p for p in new if p.isspace()]
+        words = [p for p in new if not p.isspace()]
+        found = dict(zip(words, self._pieces(words), strict=True)) if self.line_id is not None else dict(zip(words, self._library(words), strict=True))
+        found.update(zip(spaces, self._library(spaces), strict=True))
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -116,13 +145,14 @@ class LibraryEncoder:
         rest = [i for i in range(len(texts)) if out[i] is None]
         for start, end in text_groups([texts[i] for i in rest]):
             pieces = [self.split(texts[i]) for i in rest[start:end]]
-            new = list(set().union(*pieces).difference(self.memo))
-            if len(self.memo) + len(new) > MEMO_PIECES and self.memo:
-                self.memo.clear()
-                new = list(set().union(*pieces))
-            self.memo.update(zip(new, self._library(new), strict=True))
+            new = set().union(*pieces).difference(self.memo)
+            found = self._learn(new)
+            self.memo.update(found)
             for i, own in zip(rest[start:end], pieces, strict=True):
                 out[i] = b"".join(map(self.memo.__getitem__, own))
+            if len(self.memo) > MEMO_PIECES:  # what came first stays, the common pieces among it
+                for p in found:
+                    del self.memo[p]
         return out
 
 
