@@ -21,10 +21,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from railloom.llm.common import whole_text
+from railloom.llm.common import arrow_schema, whole_text
 from railloom.workspace import Workspace
 
 #: Fixed value: a word is a run of anything but ASCII white space.
@@ -32,9 +33,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Hash ranges, 2 to this power, whose sizes are summed before a source's cut is looked for within one of them.
 BIN_BITS = 12
 #: A source is near enough when this share of its target is missing; further rounds only refine.
-NEAR, ROUNDS = 0.0005, 12
+NEAR, ROUNDS = 0.002, 4
 #: A source that misses its target by more than this share, as one of few documents may, tries other orders.
-CLOSE, TRIES = 0.01, 6
+CLOSE, TRIES = 0.01, 4
 _PLACE = "struct<__hash: bigint, __row: bigint>"
 _ROUND = f"most: bigint, from_bin: int, after: {_PLACE}, cut_bin: int, last: {_PLACE}"
 
@@ -98,7 +99,7 @@ def mix(
 
     def by_source(rows: list[dict], how: str = "inner") -> DataFrame:
         """Documents with what is known of their source; ``rows`` has one per source, no more."""
-        right = spark.createDataFrame(rows, state_schema).withColumnRenamed("__source", "__s")
+        right = spark.createDataFrame(pa.Table.from_pylist(rows, arrow_schema(state_schema))).withColumnRenamed("__source", "__s")
         found = sized.join(F.broadcast(right), sized["__source"].eqNullSafe(right["__s"]), how).drop("__s")
         order = F.xxhash64(F.col("try"), F.col("__hash"))
         return found.withColumn("bin", F.shiftrightunsigned(order, 64 - BIN_BITS).cast("int")).withColumn("place", F.struct(order.alias("__hash"), F.col("__row")))
@@ -137,10 +138,10 @@ def _fill(state: list[dict], by_source: Callable[..., DataFrame]) -> list[tuple[
             if r is None:  # nothing is left that fits
                 x["now"] = x["now"] | {"most": -1}
                 continue
-            now = x["now"] | {"cut_bin": r.cut_bin, "last": r.last}
+            now = x["now"] | {"cut_bin": r.cut_bin, "last": r.last and r.last.asDict()}
             x["rounds"] = [*x["rounds"], now]
             gaps[i] -= r.got
-            after = r.last or (now["after"] if r.cut_bin == now["from_bin"] else None)
+            after = now["last"] or (now["after"] if r.cut_bin == now["from_bin"] else None)
             x["now"] = {"most": math.floor(gaps[i]), "from_bin": r.cut_bin, "after": after, "cut_bin": 0, "last": None}
     away = F.abs(F.col("goal") - F.col("__size"))
     left = by_source([x | {"goal": gap} for x, gap in zip(state, gaps, strict=True)]).where(~_sampled() & (away < F.col("goal")))

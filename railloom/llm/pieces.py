@@ -25,4 +25,4 @@ def splitter(pattern: str = PATTERN):
     if pattern != PATTERN:
         return full
     narrow, outside = _NARROW.findall, _OUTSIDE.search
-    return lambda text: full(text) if outside(text) else narrow(text)
+    return lambda text: narrow(text) if text.isascii() or not outside(text) else full(text)

@@ -41,7 +41,7 @@ _MAGIC = b"RLBP"
 CHUNK_SCHEMA = "shard int, chunk int, n_ids int, first_doc long, head_ids int, doc_ids array<long>, doc_starts array<int>, doc_tokens array<long>, payload binary"
 
 
-def pack(ids: np.ndarray, bits: bool = False, level: int = 3) -> bytes:
+def pack(ids: np.ndarray, bits: bool = False, level: int = 1) -> bytes:
     """One chunk: header, plane lengths, and each plane of the 32-bit ids as a zstandard frame."""
     ids = np.ascontiguousarray(ids, "<u4")
     octets = ids.view(np.uint8).reshape(-1, 4)
@@ -61,10 +61,13 @@ def unpack(payload: bytes) -> np.ndarray:
     for size in sizes:
         planes.append(np.frombuffer(expand.decompress(payload[at : at + size]), np.uint8))
         at += size
-    octets = np.stack(planes)
+    octets = np.empty((n, n_planes if not bits else 4), np.uint8)
     if bits:
-        octets = np.packbits(np.unpackbits(octets, axis=1, count=n).T, axis=1, bitorder="little").T
-    return np.ascontiguousarray(octets.T).view("<u4").reshape(-1)
+        octets[:] = np.packbits(np.unpackbits(np.stack(planes), axis=1, count=n).T, axis=1, bitorder="little")
+    else:
+        for p, plane in enumerate(planes):
+            octets[:, p] = plane
+    return octets.view("<u4").reshape(-1)
 
 
 class LibraryEncoder:
@@ -145,11 +148,14 @@ class LibraryEncoder:
         rest = [i for i in range(len(texts)) if out[i] is None]
         for start, end in text_groups([texts[i] for i in rest]):
             pieces = [self.split(texts[i]) for i in rest[start:end]]
-            new = set().union(*pieces).difference(self.memo)
-            found = self._learn(new)
+            parts = [list(map(self.memo.get, own)) for own in pieces]
+            holes = [[at for at, ids in enumerate(own) if ids is None] for own in parts]
+            found = self._learn({own[at] for own, ats in zip(pieces, holes, strict=True) for at in ats})
             self.memo.update(found)
-            for i, own in zip(rest[start:end], pieces, strict=True):
-                out[i] = b"".join(map(self.memo.__getitem__, own))
+            for i, own, ids, ats in zip(rest[start:end], pieces, parts, holes, strict=True):
+                for at in ats:
+                    ids[at] = found[own[at]]
+                out[i] = b"".join(ids)
             if len(self.memo) > MEMO_PIECES:  # what came first stays, the common pieces among it
                 for p in found:
                     del self.memo[p]
@@ -261,7 +267,7 @@ def read_digests(chunks: DataFrame) -> DataFrame:
     def stretches(batch: pa.RecordBatch) -> Iterator[dict]:
         cols = {name: [] for name in ("shard", "doc", "chunk", "crc", "n", "doc_id", "start", "n_tokens")}
         for row in batch.to_pylist():
-            raw = unpack(row["payload"]).tobytes()
+            raw = memoryview(unpack(row["payload"])).cast("B")
             spans = [(row["first_doc"] - 1, 0, row["head_ids"], None, None, None)] if row["head_ids"] else []
             edges = [*row["doc_starts"], row["n_ids"]]
             spans += [(row["first_doc"] + i, edges[i], edges[i + 1], row["doc_ids"][i], edges[i], row["doc_tokens"][i]) for i in range(len(row["doc_ids"]))]
