@@ -146,7 +146,7 @@ class LibraryEncoder:
         for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
             out[i] = ids
         rest = [i for i in range(len(texts)) if out[i] is None]
-        for start, end in text_groups([texts[i] for i in rest]):
+        for start, end in text_groups([texts[i] for i in rest], 1 << 14):
             pieces = [self.split(texts[i]) for i in rest[start:end]]
             parts = [list(map(self.memo.get, own)) for own in pieces]
             holes = [[at for at, ids in enumerate(own) if ids is None] for own in parts]
@@ -279,18 +279,6 @@ def read_digests(chunks: DataFrame) -> DataFrame:
 
     parts = arrow_map(chunks, "shard int, doc long, chunk int, crc long, n long, doc_id long, start int, n_tokens long", stretches)
 
-    @F.pandas_udf("long")
-    def joined(crcs, sizes):
-        import pandas as pd
-
-        out = []
-        for own, n in zip(crcs, sizes, strict=True):
-            crc = int(own[0])
-            for c, size in zip(own[1:], n[1:], strict=True):
-                crc = crc32_join(crc, int(c), int(size))
-            out.append(crc)
-        return pd.Series(out, dtype="int64")
-
     whole = parts.groupBy("shard", "doc").agg(
         F.array_sort(F.collect_list(F.struct("chunk", "crc", "n"))).alias("s"),
         F.max("doc_id").alias("doc_id"),
@@ -299,9 +287,19 @@ def read_digests(chunks: DataFrame) -> DataFrame:
         F.max("n_tokens").alias("n_tokens"),
     )
     bases, full = _layout(chunks)
-    return whole.join(F.broadcast(bases), "shard").select(
-        "doc_id",
-        (F.col("base") + F.col("chunk").cast("long") * full + F.col("start")).alias("start"),
-        "n_tokens",
-        joined(F.col("s.crc"), F.col("s.n")).alias("ids_crc32"),
-    )
+    placed = whole.join(F.broadcast(bases), "shard").select(
+        "doc_id", (F.col("base") + F.col("chunk").cast("long") * full + F.col("start")).alias("start"), "n_tokens", F.col("s.crc").alias("crcs"), F.col("s.n").alias("sizes")
+    )
+
+    def join(batch: pa.RecordBatch) -> Iterator[dict]:
+        doc_id, start, tokens, crcs, sizes = batch.columns
+        first = crcs.offsets.to_numpy()[:-1]
+        count = crcs.value_lengths().to_numpy(zero_copy_only=False)
+        flat, lengths = crcs.values.to_numpy(), sizes.values.to_numpy()
+        out = flat[first].copy()
+        for i in np.flatnonzero(count > 1):  # the few documents that several chunks share
+            for at in range(first[i] + 1, first[i] + count[i]):
+                out[i] = crc32_join(int(out[i]), int(flat[at]), int(lengths[at]))
+        yield {"doc_id": doc_id, "start": start, "n_tokens": tokens, "ids_crc32": out}
+
+    return arrow_map(placed, "doc_id long, start long, n_tokens long, ids_crc32 long", join)
