@@ -2,15 +2,175 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from railloom.functions import columns as C
+from railloom.operators import indexes as I
+from railloom.operators import search as S
+from railloom.plans.oracles import ORACLES
+from railloom.sources import timetable as T
+from railloom.workspace import Workspace
+
+#: Users whose trips make the search network: at any size of the tables about 400 trips.
+FEW = 15
+
 
 def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events per type."""
     return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n_events"))
 
 
-QUERIES = {"event_counts": event_counts}
-ORACLES = {"event_counts": "SELECT event_type, count(*) AS n_events FROM events GROUP BY event_type"}
-FLAGSHIP = "event_counts"
+def parse_time_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    text = (
+        F.when(key % 6 == 0, F.concat(key % 30, F.lit(":0"), key % 7)).when(key % 6 == 1, F.concat(F.lit("25:10:0"), key % 9))
+        .when(key % 6 == 2, key.cast("string")).when(key % 6 == 3, F.concat(F.lit("x"), key)).when(key % 6 == 5, F.lit(" 7:5 "))
+    )
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(key, C.parse_time_seconds(text).alias("seconds"))
+
+
+def departure_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("event_id")
+    value = F.when(key % 2 == 0, key + 1_738_580_100).otherwise(key * 17 % 90_000)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(key, C.departure_seconds(value).alias("seconds"))
+
+
+def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = T.stops(spark).select(F.col("k").alias("src"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"))
+    b = T.stops(spark).select(F.col("k").alias("dst"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
+    meters = C.haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
+    return a.join(b, F.col("src") != F.col("dst")).select("src", "dst", F.round(meters, 3).alias("meters"))
+
+
+def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.stops(spark).select("k", F.floor(F.col("lat") / I.CELL).alias("r"), F.floor(F.col("lon") / I.CELL).alias("c"))
+
+
+def station_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.stops(spark).select("k", C.station_key(F.col("stop_id")).alias("station"))
+
+
+def stop_text_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", C.normalize_text(F.col("p_name")).alias("name"))
+
+
+def incoming_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = I.ride_edges(T.stop_times(spark, sf_dir))
+    return edges.groupBy(F.col("dst").alias("k")).agg(F.array_join(F.array_sort(F.collect_set("src")).cast("array<string>"), ",").alias("sources"))
+
+
+def two_hop_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = I.ride_edges(T.stop_times(spark, sf_dir, FEW)).select(F.col("src").alias("k"), F.col("dst").alias("near"))
+    both = edges.unionByName(edges.select(F.col("near").alias("k"), F.col("k").alias("near"))).distinct()
+    second = both.select(F.col("k").alias("near"), F.col("near").alias("far"))
+    return both.join(second, "near").select("k", F.col("far").alias("near")).unionByName(both).distinct()
+
+
+def route_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.patterns(T.stop_times(spark, sf_dir), "event_type").groupBy("pattern").agg(F.count("*").alias("n_trips"), F.min("dep0").alias("first_dep"))
+
+
+def pattern_trips_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("pattern").orderBy("dep0", "trip_id")
+    return I.patterns(T.stop_times(spark, sf_dir), "event_type").select("trip_id", "pattern", F.row_number().over(order).alias("nth"))
+
+
+def trip_avg_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.trip_speeds(T.stop_times(spark, sf_dir), T.stops(spark)).select("trip_id", F.round("speed", 6).alias("speed"))
+
+
+def network_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.trip_factors(T.stop_times(spark, sf_dir), T.stops(spark)).groupBy("route_type", "cost_factor").agg(F.count("*").alias("n_trips"))
+
+
+def station_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stations = T.stops(spark).groupBy(C.station_key(F.col("stop_id")).alias("station"))
+    return stations.agg(F.round(F.avg("lat"), 9).alias("lat"), F.round(F.avg("lon"), 9).alias("lon"))
+
+
+def _station_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.station_edges(T.stop_times(spark, sf_dir), T.stops(spark))
+
+
+def origin_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = I.near_pairs(T.stops(spark), 300.0, 300.0 / 70_000)  # a cell no narrower than the radius at this latitude
+    order = Window.partitionBy("k_a").orderBy(F.round("m", 6), "k_b")
+    return near.withColumn("n", F.row_number().over(order)).where("n <= 12").select(F.col("k_a").alias("src"), F.col("k_b").alias("dst"), "n")
+
+
+def boardings_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.boardings(T.requests(spark, sf_dir), T.stop_times(spark, sf_dir)).select("query_id", "trip_id", "seq", "board_t")
+
+
+def ride_alightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = T.stop_times(spark, sf_dir)
+    return S.alightings(S.boardings(T.requests(spark, sf_dir), st), st)
+
+
+def _paths(spark: SparkSession, sf_dir: str, rounds: int, by_hops: bool) -> DataFrame:
+    edges = I.ride_edges(T.stop_times(spark, sf_dir, FEW)).select("src", "dst", "seconds")
+    sources = T.requests(spark, sf_dir).select("query_id", F.col("from_k").alias("node"))
+    return S.shortest_paths(sources, edges, Workspace(spark, "paths"), rounds, by_hops)
+
+
+def raptor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best labels of all stops for all requests, with their paths."""
+    workspace = Workspace(spark, "labels")
+    st = T.stop_times(spark, sf_dir, FEW)
+    trips = workspace.table(st.join(I.patterns(st, "k").select("trip_id", "pattern"), "trip_id").select("trip_id", "pattern", "k", "t", "seq"), "trips")
+    return S.label_rounds(T.requests(spark, sf_dir), trips, I.trip_factors(st, T.stops(spark)), I.transfer_edges(T.stops(spark)), workspace)
+
+
+def reliability_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of requests whose destination has a label."""
+    labels = raptor_labels(spark, sf_dir).select("query_id", F.col("k").alias("to_k"), F.lit(1).alias("found"))
+    asked = T.requests(spark, sf_dir).join(labels, ["query_id", "to_k"], "left")
+    return asked.agg(F.count("*").alias("n_requests"), F.round(F.avg(F.coalesce("found", F.lit(0))), 6).alias("found_rate"))
+
+
+def transfer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.stop_times(spark, sf_dir).groupBy("user_id").agg((F.countDistinct("trip_id") - 1).alias("changes"))
+
+
+def stop_bbox_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = T.stop_times(spark, sf_dir).join(F.broadcast(T.stops(spark)), "k")  # 100 stops
+    cut = lambda c, q: F.round(F.percentile(c, F.lit(q)), 9)
+    return at.agg(cut("lat", 0.005).alias("lat_low"), cut("lat", 0.995).alias("lat_high"), cut("lon", 0.005).alias("lon_low"), cut("lon", 0.995).alias("lon_high"))
+
+
+QUERIES = {
+    "event_counts": event_counts,
+    "timetable_stop_times": T.stop_times,
+    "parse_time_seconds": parse_time_seconds,
+    "departure_seconds": departure_seconds,
+    "haversine_pairs": haversine_pairs,
+    "grid_cells": grid_cells,
+    "station_keys": station_keys,
+    "stop_text_normalized": stop_text_normalized,
+    "ride_edges": lambda s, d: I.ride_edges(T.stop_times(s, d)),
+    "incoming_edges": incoming_edges,
+    "two_hop_expansion": two_hop_expansion,
+    "route_patterns": route_patterns,
+    "pattern_trips_ranked": pattern_trips_ranked,
+    "board_monotonic": lambda s, d: I.board_monotonic(T.stop_times(s, d), "event_type"),
+    "same_station_transfers": lambda s, d: I.same_station_transfers(T.stops(s)),
+    "nearby_transfers": lambda s, d: I.nearby_transfers(T.stops(s)),
+    "transfer_edges": lambda s, d: I.transfer_edges(T.stops(s)),
+    "trip_avg_speed": trip_avg_speed,
+    "trip_cost_factor": lambda s, d: I.trip_factors(T.stop_times(s, d), T.stops(s)),
+    "network_profile": network_profile,
+    "station_centroids": station_centroids,
+    "station_edges": _station_edges,
+    "station_degrees": lambda s, d: I.station_degrees(_station_edges(s, d)),
+    "hub_stations": lambda s, d: I.hubs(I.station_degrees(_station_edges(s, d)), 10),
+    "origin_candidates": origin_candidates,
+    "boardings_asof": boardings_asof,
+    "ride_alightings": ride_alightings,
+    "static_shortest_path": lambda s, d: _paths(s, d, 4, False),
+    "station_hop_path": lambda s, d: _paths(s, d, 3, True),
+    "raptor_labels": raptor_labels,
+    "reliability_rates": reliability_rates,
+    "transfer_counts": transfer_counts,
+    "stop_bbox_quantiles": stop_bbox_quantiles,
+}
+FLAGSHIP = "ride_alightings"
