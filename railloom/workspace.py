@@ -46,10 +46,10 @@ class Workspace:
     def _path(self, path: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         """Write ``df`` under ``name`` and return the table read back."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
