@@ -208,7 +208,8 @@ def write_chunks(
         if held:
             yield cut(len(held) // 4)
 
-    return workspace.table(ordered.mapInArrow(work, CHUNK_SCHEMA), name)
+    # the planes are compressed already
+    return workspace.table(ordered.mapInArrow(work, CHUNK_SCHEMA), name, "uncompressed")
 
 
 def _layout(chunks: DataFrame) -> tuple[DataFrame, int]:
