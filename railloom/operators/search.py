@@ -52,8 +52,10 @@ def label_rounds(requests: DataFrame, trips: DataFrame, factors: DataFrame, walk
 
     Round r settles the stops that r transfers first reach. Boarding takes the first ``scan`` trips
     of each pattern at a stop; a ride reaches all its later stops; stops reached by a ride are walked
-    from. Ties go to the smaller path.
+    from. Ties go to the smaller path. A request all of whose stops are settled goes no further.
     """
+    stops = workspace.table(trips.select("k").unionByName(walks.select(F.col("dst").alias("k"))).distinct(), "stops")
+    all_stops = stops.count()
     short = walks.where(F.col("seconds") <= HOP_S)
     buffer = min(10, penalty // 60)
     start = requests.select("query_id", F.col("from_k").alias("k"), (F.col("departure") * 1000).alias("cost"), F.lit(0).cast("bigint").alias("walk"), F.col("departure").alias("arr"), F.col("from_k").cast("string").alias("path"))
@@ -82,6 +84,8 @@ def label_rounds(requests: DataFrame, trips: DataFrame, factors: DataFrame, walk
         settled = settled.unionByName(both.drop("rode").withColumn("transfers", F.lit(r)))
         if both.isEmpty():
             break
+        full = settled.join(stops, "k", "left_semi").groupBy("query_id").count().where(F.col("count") >= all_stops)
+        frontier = frontier.join(full, "query_id", "left_anti")
     return settled
 
 

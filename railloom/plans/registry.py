@@ -12,7 +12,7 @@ from railloom.plans.oracles import ORACLES
 from railloom.sources import timetable as T
 from railloom.workspace import Workspace
 
-#: Users whose trips make the search network: at any size of the tables about 400 trips.
+#: Users whose trips make the network of two_hop_expansion and of the path queries, as their SQL has it.
 FEW = 15
 
 
@@ -116,7 +116,7 @@ def _paths(spark: SparkSession, sf_dir: str, rounds: int, by_hops: bool) -> Data
 def raptor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best labels of all stops for all requests, with their paths."""
     workspace = Workspace(spark, "labels")
-    st = T.stop_times(spark, sf_dir, FEW)
+    st = workspace.table(T.stop_times(spark, sf_dir), "stop_times")
     trips = workspace.table(st.join(I.patterns(st, "k").select("trip_id", "pattern"), "trip_id").select("trip_id", "pattern", "k", "t", "seq"), "trips")
     return S.label_rounds(T.requests(spark, sf_dir), trips, I.trip_factors(st, T.stops(spark)), I.transfer_edges(T.stops(spark)), workspace)
 
