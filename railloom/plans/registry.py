@@ -113,19 +113,35 @@ def _paths(spark: SparkSession, sf_dir: str, rounds: int, by_hops: bool) -> Data
     return S.shortest_paths(sources, edges, Workspace(spark, "paths"), rounds, by_hops)
 
 
-def raptor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best labels of all stops for all requests, with their paths."""
+#: What the labels of a request depend on.
+SOURCE = ["from_k", "departure"]
+
+
+def _source_labels(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    """The labels of each distinct source of ``asked``, once: SOURCE and the columns of the labels."""
     workspace = Workspace(spark, "labels")
     st = workspace.table(T.stop_times(spark, sf_dir), "stop_times")
     trips = workspace.table(st.join(I.patterns(st, "k").select("trip_id", "pattern"), "trip_id").select("trip_id", "pattern", "k", "t", "seq"), "trips")
-    return S.label_rounds(T.requests(spark, sf_dir), trips, I.trip_factors(st, T.stops(spark)), I.transfer_edges(T.stops(spark)), workspace)
+    sources = asked.groupBy(*SOURCE).agg(F.min("query_id").alias("query_id"))
+    sources = workspace.table(sources, "sources")
+    labels = S.label_rounds(sources, trips, I.trip_factors(st, T.stops(spark)), I.transfer_edges(T.stops(spark)), workspace)
+    return labels.join(sources, "query_id").drop("query_id")
+
+
+def raptor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best labels of all stops for all requests, with their paths."""
+    asked = T.requests(spark, sf_dir, None)
+    made = asked.join(_source_labels(spark, sf_dir, asked), SOURCE)
+    return made.select("query_id", "k", "cost", "walk", "arr", "path", "transfers")
 
 
 def reliability_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of requests whose destination has a label."""
-    labels = raptor_labels(spark, sf_dir).select("query_id", F.col("k").alias("to_k"), F.lit(1).alias("found"))
-    asked = T.requests(spark, sf_dir).join(labels, ["query_id", "to_k"], "left")
-    return asked.agg(F.count("*").alias("n_requests"), F.round(F.avg(F.coalesce("found", F.lit(0))), 6).alias("found_rate"))
+    asked = T.requests(spark, sf_dir, None)
+    labels = _source_labels(spark, sf_dir, asked).select(*SOURCE, F.col("k").alias("to_k"), F.lit(1).alias("found"))
+    pairs = asked.groupBy(*SOURCE, "to_k").agg(F.count("*").alias("n")).join(labels, [*SOURCE, "to_k"], "left")
+    found = F.sum(F.coalesce("found", F.lit(0)) * F.col("n")) / F.sum("n")
+    return pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_requests"), F.round(found, 6).alias("found_rate"))
 
 
 def transfer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

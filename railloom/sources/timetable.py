@@ -34,9 +34,11 @@ def stops(spark: SparkSession) -> DataFrame:
     )
 
 
-def requests(spark: SparkSession, sf_dir: str, below: int = 20) -> DataFrame:
-    """(query_id, from_k, to_k, departure) for the orders of the smallest keys."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.col("o_orderkey") < below)
+def requests(spark: SparkSession, sf_dir: str, below: int | None = 20) -> DataFrame:
+    """(query_id, from_k, to_k, departure) for the orders of the smallest keys, or of all keys without ``below``."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    if below is not None:
+        o = o.where(F.col("o_orderkey") < below)
     made = o.select(
         F.col("o_orderkey").alias("query_id"), (F.col("o_custkey") % 100).cast("int").alias("from_k"),
         (F.col("o_orderkey") * 7 % 100).cast("int").alias("to_k"), (F.lit(28800) + F.col("o_orderkey") % 8 * 1800).alias("departure"),

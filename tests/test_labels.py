@@ -83,3 +83,18 @@ def test_labels_use_the_trips_of_all_users(spark, sf_dir, plain, made):
     few = {r.query_id: (r.from_k, r.departure) for r in timetable.requests(spark, sf_dir).collect()}
     got = {(r.query_id, r.k): (r.transfers, r.cost, r.walk, r.arr, r.path) for r in made.where(F.col("query_id").isin(list(few))).collect()}
     assert got == {(q, k): label for q, asked in few.items() for k, label in plain.labels(*asked).items()}
+
+
+def test_every_order_is_a_request(spark, sf_dir, plain, made):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").collect()
+    asked = {o.o_orderkey: (o.o_custkey % 100, o.o_orderkey * 7 % 100, 28800 + o.o_orderkey % 8 * 1800) for o in orders}
+    asked = {q: x for q, x in asked.items() if x[0] != x[1]}
+    want = {source: plain.labels(*source) for source in {(a, dep) for a, _, dep in asked.values()}}
+    got = defaultdict(dict)
+    for r in made.collect():
+        assert r.k not in got[r.query_id]
+        got[r.query_id][r.k] = (r.transfers, r.cost, r.walk, r.arr, r.path)
+    assert got == {q: want[a, dep] for q, (a, _, dep) in asked.items()}
+    rate = registry.QUERIES["reliability_rates"](spark, sf_dir).first()
+    found = sum(to in want[a, dep] for a, to, dep in asked.values())
+    assert (rate.n_requests, rate.found_rate) == (len(asked), pytest.approx(found / len(asked), abs=1e-6))
