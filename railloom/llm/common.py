@@ -58,6 +58,24 @@ def text_groups(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, in
         yield start, len(texts)
 
 
+#: Keys that a broadcast join of hot keys takes at most.
+HOT_KEYS = 4096
+
+
+def join_with_hot(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join of two written tables by a key that is unique on the right.
+
+    ``weight`` of the right is the number of rows of the key on the left. Keys of more than a
+    ``HOT_KEYS``-th of all rows, at most ``HOT_KEYS`` of them, are broadcast, so that no key gathers
+    its rows in one task; all others meet by a sort-merge join.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) > max(1000, total // HOT_KEYS)
+    common, others = F.broadcast(right.where(hot)), right.where(~hot)
+    rest = left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti").join(others.hint("merge"), key)
+    return left.join(common, key).unionByName(rest)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finalizer that spreads every input bit over 64-bit words."""
     x = x.astype(np.uint64, copy=True)
