@@ -41,12 +41,12 @@ def _flip(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return x[at, np.arange(x.shape[1])]
 
 
-def _run(x: np.ndarray, w: dict[str, np.ndarray], side: str) -> tuple[np.ndarray, list]:
-    """Hidden states (block, page, HIDDEN) of one direction, and what its gradient needs."""
+def _run(x: np.ndarray, w: dict[str, np.ndarray], side: str, start: tuple | None = None, keep: bool = False) -> tuple[np.ndarray, list, tuple]:
+    """Hidden states (block, page, HIDDEN) of one direction, with ``keep`` what its gradient needs, and the last state."""
     steps, pages, _ = x.shape
     given = x.reshape(steps * pages, -1) @ w[f"{side}x"] + w[f"{side}c"]
     given = given.reshape(steps, pages, 4 * HIDDEN)
-    h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
+    h, c = start or (np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32))
     hs, saved = np.empty((steps, pages, HIDDEN), np.float32), []
     for t in range(steps):
         z = given[t] + h @ w[f"{side}h"]
@@ -58,8 +58,9 @@ def _run(x: np.ndarray, w: dict[str, np.ndarray], side: str) -> tuple[np.ndarray
         tc = np.tanh(c)
         h = o * tc
         hs[t] = h
-        saved.append((i, f, o, g, tc, *before))
-    return hs, saved
+        if keep:
+            saved.append((i, f, o, g, tc, *before))
+    return hs, saved, (h, c)
 
 
 def _back(x: np.ndarray, w: dict[str, np.ndarray], side: str, saved: list, dhs: np.ndarray, grads: dict[str, np.ndarray]) -> None:
@@ -80,17 +81,33 @@ def _back(x: np.ndarray, w: dict[str, np.ndarray], side: str, saved: list, dhs:
 
 def scores(x: np.ndarray, lengths: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
     """Log odds (block, page) that a block is main text."""
-    fwd, _ = _run(x, w, "f")
-    bwd, _ = _run(_flip(x, lengths), w, "b")
+    fwd, _, _ = _run(x, w, "f")
+    bwd, _, _ = _run(_flip(x, lengths), w, "b")
     return np.concatenate([fwd, _flip(bwd, lengths)], axis=2) @ w["out"] + w["bias"]
 
 
+def long_scores(page: html_blocks.Blocks, w: dict[str, np.ndarray]) -> np.ndarray:
+    """The same for one page of any number of blocks, a stretch of them at a time."""
+    n = len(page.texts)
+    z = np.full(n, w["bias"][0], np.float32)
+    stretches = [(a, min(n, a + BATCH_BLOCKS)) for a in range(0, n, BATCH_BLOCKS)]
+    state = None
+    for a, b in stretches:
+        hs, _, state = _run(html_blocks.features([page.part(a, b)])[:, None], w, "f", state)
+        z[a:b] += hs[:, 0] @ w["out"][:HIDDEN]
+    state = None
+    for a, b in reversed(stretches):
+        hs, _, state = _run(html_blocks.features([page.part(a, b)])[::-1, None], w, "b", state)
+        z[a:b] += (hs[:, 0] @ w["out"][HIDDEN:])[::-1]
+    return z
+
+
 def gradients(x: np.ndarray, lengths: np.ndarray, y: np.ndarray, w: dict[str, np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
     """Mean cross entropy per block, and its gradients."""
     real = np.arange(x.shape[0])[:, None] < lengths
-    fwd, saved_f = _run(x, w, "f")
+    fwd, saved_f, _ = _run(x, w, "f", keep=True)
     flipped = _flip(x, lengths)
-    bwd, saved_b = _run(flipped, w, "b")
+    bwd, saved_b, _ = _run(flipped, w, "b", keep=True)
     both = np.concatenate([fwd, _flip(bwd, lengths)], axis=2)
     z = both @ w["out"] + w["bias"]
     p = _sigmoid(z)
@@ -133,10 +150,14 @@ class Labeller:
     def label(self, pages: list[html_blocks.Blocks]) -> list[np.ndarray]:
         """For each page, which of its blocks are main text."""
         out = [np.zeros(0, bool)] * len(pages)
-        for own, x, lengths in batches(pages):
+        short = [i for i, p in enumerate(pages) if len(p.texts) <= BATCH_BLOCKS]
+        for own, x, lengths in batches([pages[i] for i in short]):
             z = scores(x, lengths, self.weights)
             for k, i in enumerate(own):
-                out[i] = z[: lengths[k], k] > 0
+                out[short[i]] = z[: lengths[k], k] > 0
+        for i, p in enumerate(pages):
+            if len(p.texts) > BATCH_BLOCKS:
+                out[i] = long_scores(p, self.weights) > 0
         return out
 
     def main_texts(self, pages: list[str | None]) -> list[str]:

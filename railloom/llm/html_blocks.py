@@ -9,6 +9,8 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,10 +21,17 @@ PATH_BINS, WORD_BINS = 96, 24
 MEASURES = 9
 WIDTH = PATH_BINS + WORD_BINS + MEASURES
 
-#: Elements whose tags do not end a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements whose content is no text of the page.
-SILENT = frozenset("script style template noscript head title svg math iframe object canvas audio video select textarea".split())
+#: Elements whose tags do not end a block; formulas, drawings and embedded media stand within a line.
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
+    "audio canvas map meter noscript object output picture progress ruby rb rp rt rtc slot video "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup mover munder munderover mpadded mphantom mspace mstyle mtable mtr mtd semantics annotation "
+    "svg text tspan textpath g path circle ellipse line polygon polyline rect defs use desc".split()
+)
+#: Elements whose content is no markup up to their own end tag, and no text of the page.
+SILENT = frozenset("script style template title iframe textarea select".split())
+#: Those of them that take the rest of the page if they have no end tag.
+ENDLESS = frozenset("script style".split())
 #: Elements that have no end.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end an open one of the same row before they begin.
@@ -30,12 +39,14 @@ SIBLINGS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt",
 #: Block elements that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>""", re.S)
+_OPEN = re.compile(r"""<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/<>"']*+))""")
+#: What follows a tag's name up to its end or the next tag; only a quote after an equals sign begins a quoted value.
+_BODY = re.compile(r"""(?:[^'"<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|['"])*+""")
+_BARE_BODY = re.compile(r"[^<>]*+")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[A-Za-z]+")
 _END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in SILENT}
-#: Content of these is no markup, up to their own end tag.
-_RAW = frozenset("script style template noscript title svg math iframe object canvas audio video select textarea".split())
+_HEAD_END = re.compile(r"</head\b[^>]*>|<body\b", re.I)
 
 
 @dataclass
@@ -47,6 +58,9 @@ class Blocks:
     linked: list[float] = field(default_factory=list)
     kinds: list[int] = field(default_factory=list)
 
+    def part(self, start: int, end: int) -> Blocks:
+        return Blocks(self.texts[start:end], self.paths[start:end], self.linked[start:end], self.kinds[start:end])
+
 
 _memo: dict[str, tuple[int, ...]] = {}
 
@@ -66,12 +80,43 @@ def _bins(name: str, attributes: str) -> tuple[int, ...]:
     return found
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Markup in order: start, end, name (empty for comments and declarations), whether it closes, and its attributes.
+
+    One pass: every character is looked at a bounded number of times. A tag without an end ends where
+    the next one begins. What no tag ends before the page does is read again, once, with quotes as
+    plain characters; a last tag that is still open is text. A caller that skips content sends the
+    place to go on from.
+    """
+    at, quotes = 0, True
+    missing: set[str] = set()  # ends that the rest of the page does not hold
+    while m := _OPEN.search(page, at):
+        if m[4] is None:
+            close = "-->" if m[1] else ">"
+            found = -1 if close in missing else page.find(close, m.end())
+            if found < 0:
+                missing.add(close)
+            at = (yield m.start(), found + len(close) if found >= 0 else len(page), "", False, "") or (found + len(close) if found >= 0 else len(page))
+            continue
+        end = (_BODY if quotes else _BARE_BODY).match(page, m.end()).end()
+        if end == len(page):
+            if not quotes:
+                return
+            quotes, at = False, m.start()
+            continue
+        attributes = page[m.end() : end]
+        end += page[end] == ">"
+        at = (yield m.start(), end, m[4].lower(), bool(m[3]), attributes) or end
+
+
 def read(page: str | None) -> Blocks:
     """The blocks of a page in order."""
     out = Blocks()
     if not page:
         return out
     stack: list[tuple[str, tuple[int, ...]]] = []
+    open_names: Counter[str] = Counter()
+    bins_open: Counter[int] = Counter()
     held: list[str] = []
     link_chars = links = 0
     at = 0
@@ -82,7 +127,7 @@ def read(page: str | None) -> Blocks:
             text = " ".join("".join(held).split())
             if text:
                 out.texts.append(text)
-                out.paths.append(tuple({b for _, bins in stack for b in bins}))
+                out.paths.append(tuple(bins_open))
                 out.linked.append(min(1.0, link_chars / len(text)))
                 last = stack[-1][0] if stack else ""
                 out.kinds.append(1 if last in ("h1", "h2", "h3", "h4", "h5", "h6") else 2 if last in ("li", "dt", "dd") else 0)
@@ -97,40 +142,64 @@ def read(page: str | None) -> Blocks:
             if links:
                 link_chars += len(text)
 
-    while m := _TAG.search(page, at):
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
+    def push(name: str, bins: tuple[int, ...]) -> None:
+        stack.append((name, bins))
+        open_names[name] += 1
+        bins_open.update(bins)
+
+    def pop() -> str:
+        name, bins = stack.pop()
+        open_names[name] -= 1
+        for b in bins:
+            bins_open[b] -= 1
+            if not bins_open[b]:
+                del bins_open[b]
+        return name
+
+    tags = _tags(page)
+    unended: set[str] = set()
+    go_on = None
+    while True:
+        try:
+            start, end, name, closes, attributes = tags.send(go_on)
+        except StopIteration:
+            break
+        go_on = None
+        say(page[at:start])
+        at = end
+        if not name:
             continue
-        name = name.lower()
         if name == "a":
-            links = max(0, links - 1) if m[1] else links + (not m[3].endswith("/"))
+            links = max(0, links - 1) if closes else links + (not attributes.endswith("/"))
         if name in INLINE:
             continue
+        if name in SILENT and not closes and not attributes.endswith("/") and name not in unended:
+            found = _END[name].search(page, at)
+            if found or name in ENDLESS:
+                flush()
+                go_on = at = found.end() if found else len(page)
+                continue
+            unended.add(name)
         flush()
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+        if closes:
+            if open_names[name]:
+                while pop() != name:
+                    pass
             links = 0
             continue
-        if name in VOID or m[3].endswith("/"):
-            continue
-        if name in _RAW:
-            end = _END[name].search(page, at)
-            at = end.end() if end else len(page)
+        if name in VOID or attributes.endswith("/"):
             continue
         if name == "head":
-            end = re.compile(r"</head\b[^>]*>|<body\b", re.I).search(page, at)
-            at = (end.start() if page[end.start() + 1] != "/" else end.end()) if end else at
+            found = None if "head" in unended else _HEAD_END.search(page, at)
+            if found:
+                go_on = at = found.start() if page[found.start() + 1] != "/" else found.end()
+            else:
+                unended.add("head")
             continue
         ended = SIBLINGS.get(name) or ({"p"} if name in ENDS_P else ())
         while stack and stack[-1][0] in ended:
-            stack.pop()
-        stack.append((name, _bins(name, m[3])))
+            pop()
+        push(name, _bins(name, attributes))
     say(page[at:])
     flush()
     return out

@@ -12,7 +12,8 @@ beforehand; its documents are counted with map-side combining and its holder is
 sample only chooses the way: either way counts every line.
 
 Null and empty texts are one empty line. Repeated rows of one document id are one document; a null
-id is a document below all others. Extra columns are left alone, whatever their names.
+id is a document below all others. An empty table gives no rows. Columns of the input may have any
+names.
 """
 
 from __future__ import annotations
@@ -77,17 +78,35 @@ def lost_lines(lines: DataFrame, min_docs: int) -> DataFrame:
     return hot_lost.select("doc_id", "text_hash", "pos").unionByName(cold_lost.select("doc_id", "text_hash", "pos"))
 
 
+def _run_lengths(n_lines: Column, lost: Column) -> tuple[Column, Column]:
+    """Lengths of the runs of kept lines, and of the lost ones that follow each, from sorted lost positions.
+
+    Every array is an argument of a function over arrays, never looked up in from within one, so the
+    work is in proportion to the lines.
+    """
+    rest = F.greatest(F.size(lost) - 1, F.lit(0))
+    before = F.concat(F.array(F.lit(-2)), F.slice(lost, F.lit(1), rest))
+    after = F.concat(F.slice(lost, F.lit(2), rest), F.array(F.lit(-2)))
+    some = lambda x: F.filter(x, lambda y: y.isNotNull())
+    begins = some(F.zip_with(lost, F.slice(before, F.lit(1), F.size(lost)), lambda x, p: F.when(x != p + 1, x)))
+    ends = some(F.zip_with(lost, F.slice(after, F.lit(1), F.size(lost)), lambda x, q: F.when(q != x + 1, x + 1)))
+    kept = F.zip_with(F.concat(begins, F.array(n_lines)), F.concat(F.array(F.lit(0)), ends), lambda b, e: b - e)
+    return kept, F.concat(F.zip_with(ends, begins, lambda e, b: e - b), F.array(F.lit(0)))
+
+
 def keep_runs(n_lines: Column, lost: Column) -> Column:
     """Run lengths of lines kept, lost, kept ... from the sorted positions that are lost."""
-    edges = F.concat(
-        F.array(F.lit(0)),
-        F.flatten(F.transform(lost, lambda x, i: F.concat(
-            F.when((i == 0) | (F.element_at(lost, F.greatest(i, F.lit(1))) != x - 1), F.array(x)).otherwise(F.array().cast("array<int>")),
-            F.when((i == F.size(lost) - 1) | (F.element_at(lost, F.least(i + 2, F.size(lost))) != x + 1), F.array(x + 1)).otherwise(F.array().cast("array<int>")),
-        ))),
-        F.array(n_lines),
-    )
-    return F.transform(F.sequence(F.lit(2), F.size(edges)), lambda i: F.element_at(edges, i) - F.element_at(edges, i - 1))
+    kept, gone = _run_lengths(n_lines, lost)
+    runs = F.flatten(F.zip_with(kept, gone, lambda k, g: F.array(k, g)))
+    return F.slice(runs, F.lit(1), F.size(runs) - 1)
+
+
+def _kept_lines(text: Column, n_lines: Column, lost: Column) -> Column:
+    """The lines that stay, joined again."""
+    kept, gone = _run_lengths(n_lines, lost)
+    stays = F.flatten(F.zip_with(kept, gone, lambda k, g: F.concat(F.array_repeat(F.lit(True), k), F.array_repeat(F.lit(False), g))))
+    lines = F.zip_with(split_lines(text), stays, lambda line, stay: F.when(stay, line))
+    return F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n")
 
 
 def keep_bitmaps(docs: DataFrame, workspace: Workspace, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,24 +119,32 @@ def keep_bitmaps(docs: DataFrame, workspace: Workspace, min_chars: int = MIN_CHA
     return lost_lines(lines, min_docs).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("lost"))
 
 
-def drop_lines(docs: DataFrame, workspace: Workspace, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the text that stays, and the columns n_lines, n_dropped and keep_runs.
-
-    A null text becomes the empty one.
-    """
-    maps = keep_bitmaps(docs, workspace, min_chars, min_docs, id_col, text_col)
+def _without(docs: DataFrame, workspace: Workspace, min_chars: int, min_docs: int, id_col: str, text_col: str) -> DataFrame:
+    """The columns of ``docs`` as __c0, __c1 ..., with __kept (the text that stays), __n and __lost."""
+    named = docs.select(*(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)))
+    own_id, own_text = (f"__c{docs.columns.index(c)}" for c in (id_col, text_col))
+    maps = keep_bitmaps(named, workspace, min_chars, min_docs, own_id, own_text)
     maps = maps.select(F.struct(F.col("doc_id")).alias("__id"), F.col("text_hash").alias("__hash"), F.col("lost").alias("__lost"))
-    text = whole_text(text_col)
-    keyed = docs.withColumn("__id", F.struct(F.col(f"`{id_col}`").alias("doc_id"))).withColumn("__hash", F.xxhash64(text))
+    text = whole_text(own_text)
+    keyed = named.withColumn("__id", F.struct(F.col(own_id).alias("doc_id"))).withColumn("__hash", F.xxhash64(text))
     joined = keyed.join(maps, ["__id", "__hash"], "left")
     n_lines = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     joined = joined.withColumns({"__n": n_lines, "__lost": F.coalesce(F.col("__lost"), F.array().cast("array<int>"))})
-    lost = F.col("__lost")
-    kept = F.filter(F.transform(split_lines(text), lambda x, i: F.when(~F.array_contains(lost, i), x)), lambda x: x.isNotNull())
-    out = {
-        text_col: F.when(F.size(lost) == 0, text).otherwise(F.array_join(kept, "\n")),
-        "n_lines": F.col("__n").cast("long"),
-        "n_dropped": F.size(lost).cast("long"),
-        "keep_runs": keep_runs(F.col("__n"), lost),
-    }
-    return joined.withColumns(out).drop("__id", "__hash", "__lost", "__n")
+    return joined.withColumn("__kept", F.when(F.size("__lost") == 0, text).otherwise(_kept_lines(text, F.col("__n"), F.col("__lost"))))
+
+
+def drop_lines(docs: DataFrame, workspace: Workspace, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the text that stays, and the columns n_lines, n_dropped and keep_runs, which replace any by these names.
+
+    A null text becomes the empty one.
+    """
+    made = _without(docs, workspace, min_chars, min_docs, id_col, text_col)
+    out = {"n_lines": F.col("__n").cast("long"), "n_dropped": F.size("__lost").cast("long"), "keep_runs": keep_runs(F.col("__n"), F.col("__lost"))}
+    own = [F.col("__kept" if c == text_col else f"__c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in out]
+    return made.select(*own, *(x.alias(c) for c, x in out.items()))
+
+
+def without_shared_lines(docs: DataFrame, workspace: Workspace, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the text that stays, all other columns as they are."""
+    made = _without(docs, workspace, min_chars, min_docs, id_col, text_col)
+    return made.select(*(F.col("__kept" if c == text_col else f"__c{i}").alias(c) for i, c in enumerate(docs.columns)))

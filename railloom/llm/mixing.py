@@ -12,7 +12,7 @@ as one of few documents may be, tries other seeded orders and keeps the best. Ev
 with a few numbers per source, so no source gathers in one task.
 
 Null texts have size 0, and so do empty ones. A null source is a source, last in order. A source
-of size 0 has target 0. Repeated rows are documents of their own. Reruns agree whatever the
+of size 0 has target 0. Columns of the input may have any names. Repeated rows are documents of their own. Reruns agree whatever the
 partitioning: among rows alike in everything that counts, which is taken changes nothing.
 """
 
@@ -30,8 +30,11 @@ from railloom.workspace import Workspace
 
 #: Fixed value: a word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Hash ranges, 2 to this power, whose sizes are summed before a source's cut is looked for within one of them.
-BIN_BITS = 12
+#: Hash ranges of a source, 2 to this power at least, whose sizes are summed before its cut is looked for within one
+#: of them; and the documents of a source that a range is to hold at most.
+BIN_BITS, BIN_ROWS = 12, 100_000
+#: Sources up to which a row for each is broadcast; more meet their documents by a sort-merge join.
+BROADCAST_SOURCES = 10_000
 #: A source is near enough when this share of its target is missing; further rounds only refine.
 NEAR, ROUNDS = 0.002, 4
 #: A source that misses its target by more than this share, as one of few documents may, tries other orders.
@@ -66,29 +69,23 @@ def water_fill(sizes: Sequence[int], weights: Sequence[float], total: float, mos
     return targets
 
 
-def mix(
+def _mixed(
     docs: DataFrame, workspace: Workspace, weigh: Callable[[int], float], share: float = 1.5, most_epochs: float = 2.0, seed: int = 3,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Decide how often the mix takes each document.
-
-    ``weigh`` gives the weight of the n-th source by code point, null last; ``share`` is the wanted
-    size over the size of all documents. Returns one row per input row: ``id_col``, size,
-    source_size, target (of its source), repeats, taken (size * repeats) and the columns of ``keep``.
-
-    The driver holds a row per source. Documents pass it by.
-    """
+    """__id, size, source_size, target, repeats, taken, and the columns of ``keep`` as __k0, __k1 ..."""
     spark = docs.sparkSession
     sized = docs.select(
         F.col(f"`{id_col}`").alias("__id"), F.col(f"`{source_col}`").alias("__source"), word_count(F.col(f"`{text_col}`")).alias("__size"),
-        F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))).alias("__hash"), *(F.col(f"`{c}`") for c in keep),
+        F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))).alias("__hash"), *(F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)),
     )
     # The row number only tells rows apart that are alike; written, it stays as it is.
     sized = workspace.table(sized.withColumn("__row", F.monotonically_increasing_id()), "sized")
 
-    sources = sized.groupBy("__source").agg(F.sum("__size").alias("size")).collect()
+    sources = sized.groupBy("__source").agg(F.sum("__size").alias("size"), F.count("*").alias("n")).collect()
     sources.sort(key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
     sizes = [r[1] for r in sources]
+    bits = max(BIN_BITS, (max((r[2] for r in sources), default=0) // BIN_ROWS).bit_length())
     targets = water_fill(sizes, [weigh(i) for i in range(len(sizes))], share * sum(sizes), most_epochs)
     # Whole repetitions; a sample has to add the words that are then missing.
     whole = [min(int(t // s), int(most_epochs)) if s else 0 for t, s in zip(targets, sizes, strict=True)]
@@ -100,9 +97,10 @@ def mix(
     def by_source(rows: list[dict], how: str = "inner") -> DataFrame:
         """Documents with what is known of their source; ``rows`` has one per source, no more."""
         right = spark.createDataFrame(pa.Table.from_pylist(rows, arrow_schema(state_schema))).withColumnRenamed("__source", "__s")
-        found = sized.join(F.broadcast(right), sized["__source"].eqNullSafe(right["__s"]), how).drop("__s")
+        right = F.broadcast(right) if len(rows) <= BROADCAST_SOURCES else right.hint("merge")
+        found = sized.join(right, sized["__source"].eqNullSafe(right["__s"]), how).drop("__s")
         order = F.xxhash64(F.col("try"), F.col("__hash"))
-        return found.withColumn("bin", F.shiftrightunsigned(order, 64 - BIN_BITS).cast("int")).withColumn("place", F.struct(order.alias("__hash"), F.col("__row")))
+        return found.withColumn("bin", F.shiftrightunsigned(order, 64 - bits).cast("int")).withColumn("place", F.struct(order.alias("__hash"), F.col("__row")))
 
     best = [
         {"__source": r[0], "source_size": s, "target": t, "whole": w, "goal": t - w * s, "try": 0, "one": None, "rounds": [], "now": None}
@@ -119,11 +117,40 @@ def mix(
                 best[i], off[i] = x, missing
     repeats = F.col("whole") + (_sampled() | F.coalesce(F.col("one") == F.col("__row"), F.lit(False))).cast("int")
     return by_source(best, "left").select(
-        F.col("__id").alias(id_col), F.col("__size").alias("size"), "source_size", "target", repeats.alias("repeats"),
-        (F.col("__size") * repeats).alias("taken"), *(F.col(f"`{c}`") for c in keep),
+        "__id", F.col("__size").alias("size"), "source_size", "target", repeats.alias("repeats"),
+        (F.col("__size") * repeats).alias("taken"), *(f"__k{i}" for i in range(len(keep))),
     )
 
 
+def mix(
+    docs: DataFrame, workspace: Workspace, weigh: Callable[[int], float], share: float = 1.5, most_epochs: float = 2.0, seed: int = 3,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] = (),
+) -> DataFrame:
+    """Decide how often the mix takes each document.
+
+    ``weigh`` gives the weight of the n-th source by code point, null last; ``share`` is the wanted
+    size over the size of all documents. Returns one row per input row: ``id_col``, size,
+    source_size, target (of its source), repeats, taken (size * repeats) and the columns of ``keep``
+    but those by these names.
+
+    The driver holds a row per source. Documents pass it by.
+    """
+    out = ("size", "source_size", "target", "repeats", "taken")
+    keep = [c for c in keep if c not in (id_col, *out)]
+    made = _mixed(docs, workspace, weigh, share, most_epochs, seed, id_col, text_col, source_col, keep)
+    return made.select(F.col("__id").alias(id_col), *out, *(F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)))
+
+
+def repeated(
+    docs: DataFrame, workspace: Workspace, weigh: Callable[[int], float], share: float = 1.5, most_epochs: float = 2.0, seed: int = 3,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with its own columns and no others."""
+    made = _mixed(docs, workspace, weigh, share, most_epochs, seed, id_col, text_col, source_col, docs.columns)
+    made = made.withColumn("__n", F.explode(F.array_repeat(F.lit(1), F.col("repeats"))))
+    return made.select(*(F.col(f"__k{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def _fill(state: list[dict], by_source: Callable[..., DataFrame]) -> list[tuple[dict, float]]:
     """One try for each source of ``state``: the rounds and the one document more, and the words missing then."""
     state = [x | {"now": {"most": x["source_size"], "from_bin": 0, "after": None, "cut_bin": 0, "last": None}} for x in state]

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -74,3 +75,22 @@ def test_hot_way_counts_alike(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert got(spark, [], 1) == []
+
+
+def test_many_lost_lines_take_time_in_proportion(spark):
+    text = "\n".join(f"line number {i} that is long enough to be counted as shared" for i in range(64_000))
+    rows = [(i, text + "\nown line" if i % 2 else "own line\n" + text) for i in range(5)]
+    began = time.perf_counter()
+    made = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), Workspace(spark, "t10")).collect()
+    assert time.perf_counter() - began < 60
+    assert {r.doc_id: (r.n_dropped, r.text if r.doc_id < 4 else len(r.text)) for r in made} == {i: (64_000, "own line") if i < 4 else (0, len(rows[4][1])) for i in range(5)}
+
+
+def test_columns_of_any_name_pass_by(spark):
+    names = ["n_lines", "n_dropped", "keep_runs", "__id", "__lost", "lost", "text_hash", "pos", "a.b"]
+    docs = spark.createDataFrame([(i, "a line that six documents of this table hold, of course" if i else "own", *range(i, i + len(names))) for i in range(7)], ["doc_id", "text", *names])
+    got = line_dedup.without_shared_lines(docs, Workspace(spark, "t10"))
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == sorted((r[0], r[1] if r[0] in (0, 6) else "", *r[2:]) for r in docs.collect())
+    made = line_dedup.drop_lines(docs, Workspace(spark, "t10")).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.keep_runs, r.lost) for r in made) == [(i, 1, int(0 < i < 6), [0, 1, 0] if 0 < i < 6 else [1], i + 5) for i in range(7)]

@@ -71,3 +71,23 @@ def test_kept_columns_ride_along(spark):
     docs = spark.createDataFrame(documents()[:50], "doc_id long, text string, source string")
     got = mixing.mix(docs, Workspace(spark, "t3"), lambda i: 1, keep=("text", "source")).collect()
     assert sorted((r.doc_id, r.text, r.source) for r in got) == sorted(documents()[:50])
+
+
+def test_columns_of_any_name_pass_by(spark):
+    names = ["goal", "target", "bin", "place", "whole", "one", "try", "now", "rounds", "source_size", "size", "repeats", "taken", "__source", "__id", "a.b"]
+    docs = spark.createDataFrame([(*r, *range(i, i + len(names))) for i, r in enumerate(documents()[:60])], ["doc_id", "text", "source", *names])
+    got = mixing.repeated(docs, Workspace(spark, "t3"), lambda i: 1)
+    assert got.columns == docs.columns
+    rows = {tuple(r) for r in docs.collect()}
+    assert {tuple(r) for r in got.collect()} <= rows
+    decided = mixing.mix(docs, Workspace(spark, "t3"), lambda i: 1, keep=docs.columns).collect()
+    assert len(decided) == 60 and sum(r.repeats for r in decided) == got.count() and all(r.goal == r.bin - 2 for r in decided)
+
+
+def test_many_sources_meet_by_merging(spark, monkeypatch):
+    docs = spark.createDataFrame(documents(), "doc_id long, text string, source string")
+    run = lambda: sorted((str(r.doc_id), r.taken) for r in mixing.mix(docs, Workspace(spark, "t3"), lambda i: (5, 2, 1)[i % 3]).collect())
+    few = run()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(mixing, "BIN_ROWS", 1)
+    assert run() == few

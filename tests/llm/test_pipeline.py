@@ -96,6 +96,21 @@ def test_encoding(stages):
     assert sorted(map(tuple, stages[5].collect())) == want
 
 
+def test_stages_leave_columns_of_any_name_alone(spark):
+    names = [
+        "kept", "class_id", "rep", "group", "node", "n", "key", "perplexity", "threshold", "n_lines", "n_dropped", "keep_runs", "lost", "goal", "target", "size", "taken",
+        "repeats", "bin", "place", "whole", "one", "try", "now", "rounds", "source_size", "__id", "__text", "__node", "__source", "__lang", "__nats", "__row", "n_tokens", "a.b",
+    ]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    docs = docs.select("*", *(F.col("doc_id").alias(c) for c in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, SF)
+        assert made.columns == docs.columns
+        rows = made.collect()
+        assert rows and all(r[c] == r.doc_id for r in rows for c in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
 def test_run_and_empty_documents(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() > 0
     docs = stages[0].limit(0)
