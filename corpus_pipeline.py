@@ -15,40 +15,46 @@ from railloom.llm.registry import vocabulary
 from railloom.workspace import Workspace, importable
 
 
-def _as(docs: DataFrame, made: DataFrame) -> DataFrame:
-    return made.select(*(F.col(f"`{c}`") for c in docs.columns))
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity their language's trusted text allows."""
+    """Documents whose perplexity their language's trusted text allows.
+
+    Null and empty texts stay; repeated rows are judged alike; no columns but the documents' own come out.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, labels, Workspace(spark, "stage1"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the lines that others share; n_chars follows the text."""
-    made = line_dedup.drop_lines(docs, Workspace(spark, "stage2"))
+    """All documents without the lines that others share; n_chars follows the text.
+
+    A null text becomes empty. Rows that share an id are one document; of equal lines those in the
+    largest id stay, all of them. Other columns are left alone.
+    """
+    made = line_dedup.without_shared_lines(docs, Workspace(spark, "stage2"))
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return _as(docs, made)
+    return made
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    made = order_minhash.near_duplicates(docs, Workspace(spark, "stage3"), keep=others)
-    return _as(docs, made.where("kept"))
+    """One document of each group of near-duplicates, the one of the smallest id.
+
+    Of repeated rows and of rows that share the smallest id one stays; texts without words are one
+    group. All columns are left alone.
+    """
+    return order_minhash.keep_one_of_each(docs, Workspace(spark, "stage3"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target takes it: not at all, once or twice."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    made = mixing.mix(docs, Workspace(spark, "stage4"), lambda i: (5, 2, 1)[i % 3], share=1.5, most_epochs=2.0, keep=others)
-    return _as(docs, made.withColumn("__n", F.explode(F.array_repeat(F.lit(1), F.col("repeats")))))
+    """Each document as often as its source's target takes it: not at all, once or twice.
+
+    Repeated rows count each for itself; a null source is one. All columns are left alone.
+    """
+    return mixing.repeated(docs, Workspace(spark, "stage4"), lambda i: (5, 2, 1)[i % 3], share=1.5, most_epochs=2.0)
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix encoded and decoded again: lengths and digests."""
+    """The mix encoded and decoded again: doc_id, lengths and digests of each of its rows."""
     importable(spark)
     codec = bpe.BytePairCodec.from_file(vocabulary("byte_bpe_multi_50k.tiktoken"))
     return bpe.round_trip_digests(docs, codec)

@@ -12,9 +12,11 @@ REPO_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh local one only if the setting is unset."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset and all runs on this machine, a fresh one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="railloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -56,3 +58,7 @@ class Workspace:
         """Delete a table that nothing reads any more."""
         path = self._path(f"{self.root}/{name}")
         path.getFileSystem(self._conf()).delete(path, True)
+
+    def close(self) -> None:
+        """Delete all tables of this run, for callers that have written its result elsewhere."""
+        self._path(self.root).getFileSystem(self._conf()).delete(self._path(self.root), True)
