@@ -51,8 +51,8 @@ MIN_TRUSTED = 20
 #: Steps of the histogram of nats per character that quantiles are read from.
 STEPS = 4096
 #: Characters counted together, and looked up together.
-COUNT_CHARS, SCORE_CHARS = 1 << 22, 1 << 19
-#: Weights of a shard, 24 bytes each and up to four times that in its lookup table.
+COUNT_CHARS, SCORE_CHARS = 1 << 22, 1 << 17
+#: Weights of a shard, 24 bytes each on the way and 22 to 43 in the lookup table that a worker makes of them.
 SHARD_ENTRIES = 1 << 22
 #: Languages up to which a row for each is broadcast; more are joined by merging.
 BROADCAST_LANGUAGES = 10_000
@@ -62,8 +62,11 @@ TAG = BITS * ORDER
 
 def _class(points: np.ndarray) -> np.ndarray:
     """The class of each code point, 1 at least; 0 stands before a text."""
-    far = 1 + mix64(points.astype(np.uint64)) % np.uint64(CLASSES - 1)
-    return np.where(points < CLASSES - 1, points.astype(np.uint64) + np.uint64(1), far).astype(np.int64)
+    out = points.astype(np.int64) + 1
+    far = np.flatnonzero(out >= CLASSES)
+    if len(far):
+        out[far] = (1 + mix64(points[far].astype(np.uint64)) % np.uint64(CLASSES - 1)).astype(np.int64)
+    return out
 
 
 def codes(texts: list[str], lead: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +175,8 @@ class Shard:
         self._slots: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
+        if self.parts is None:
+            raise ValueError("a shard travels before it is used")
         return {"parts": self.parts, "whole": self.whole, "_slots": None}
 
     @staticmethod
@@ -182,7 +187,7 @@ class Shard:
     def _build(self) -> None:
         m, code, corr, lgam = self.parts
         keys = self._key(m, code)
-        self._shift = np.uint64(64 - max(4, (2 * len(keys)).bit_length()))
+        self._shift = np.uint64(64 - max(4, (4 * len(keys) // 3).bit_length()))
         home = (keys >> self._shift).astype(np.int64)
         order = np.argsort(home, kind="stable")
         at = np.maximum.accumulate(home[order] - np.arange(len(keys))) + np.arange(len(keys)) if len(keys) else home
@@ -191,7 +196,7 @@ class Shard:
         slots = np.zeros(size, np.uint64)
         values = np.zeros((size, 2), np.float32)
         slots[at], values[at, 0], values[at, 1] = keys[order], corr[order], lgam[order]
-        self._slots, self._values = slots, values
+        self._slots, self._values, self.parts = slots, values, None
 
     def find(self, m: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where codes are known, and (corr, lgam) of all, 0 of unknown ones."""

@@ -18,7 +18,7 @@ def vocabulary(name: str) -> str:
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings by cosine 0.9: links, component, and which vector of a component stays."""
-    return ego_join.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Workspace(spark, "op1"), 0.9).drop("rep")
+    return ego_join.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Workspace(spark, "op1"), 0.9)
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,15 +86,15 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 WITH v AS (
-  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+  SELECT row_number() OVER () AS rid, vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
     AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score
-  FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id
+  SELECT q.rid, q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.rid <> q.rid
 )
 SELECT query_id, rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM s)
 WHERE rank <= 5
 """
 

@@ -1,20 +1,22 @@
 """Exact top-k search by a three-phase uniform threshold.
 
 The dimensions are cut into slices; a slice's inner product is a vector's local score, and the score
-is the sum over slices. Queries and candidates meet in blocks.
+is the sum over slices. Queries and candidates meet in tiles, a band of queries with a part of the
+candidates, so that a candidate travels once for every band and a query once for every part.
 
-1. Each block pair gives, per query and slice, the k best local scores; their vectors, scored in
-   full, are the first candidates. The k-th best score of a query is a safe cutoff.
-2. The cutoff over the number of slices goes back to every block: a vector whose score reaches the
+1. Each tile gives, per query and slice, the k best local scores; their vectors, scored in full, are
+   the first candidates. The k-th best score of a query is a safe cutoff.
+2. The cutoff over the number of slices goes back to every tile: a vector whose score reaches the
    cutoff has at least one local score that reaches its even share. Only such entries are taken up.
 3. Entries whose slices are not all known are scored exactly, and the k best of each query stay.
 
 Components become floor(scale * x) as integers, so scores are exact. Products beyond 2^53 are
 computed in integers without bound and saturate at the ends of a long.
 
-Vectors that are null, empty, or hold null or non-finite components take no part; a zero vector
-does. Shorter vectors end in zeros. Null ids take no part. Rows that share an id are one vector,
-the smallest by its components. Ties go to the smaller id. Queries without candidates have no row.
+Every row is a vector of its own, whatever its id: rows that share an id are queries of their own
+and candidates of each other. A null id is no query's and comes last in ties. Vectors that are null,
+empty, or hold null or non-finite components take no part; a zero vector does. Shorter vectors end in
+zeros. Ties go to the smaller id. Queries without candidates have no row, nor has an empty table.
 """
 
 from __future__ import annotations
@@ -27,52 +29,64 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railloom.llm.common import arrow_schema, to_batch
-from railloom.llm.vectors import finite, matrix, one_per_id, same_width
+from railloom.llm.vectors import finite, matrix, numbered, pack, same_width, unpack
 from railloom.workspace import Workspace
 
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 4096
+#: Queries of a band and of a block, and candidates of a block.
+QUERY_BAND, QUERY_BLOCK, CANDIDATE_BLOCK = 16384, 1024, 4096
+#: Tiles for each core that the cluster has, if there are candidates enough.
+TILES = 3
 #: Below this size of a component, sums of up to 4096 products are exact in double precision.
 EXACT = float(1 << 20)
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
-_BLOCK = "block long, ids binary, width int, cells binary"
-_HITS = "query_id long, vec_id long, score long"
+_BLOCK = "band int, part int, side int, rows binary, ids binary, width int, kind string, cells binary, tau binary"
+_HITS = "query_row long, query_id long, row long, vec_id long, score long"
+#: Stands for a null id within blocks.
+_NO_ID = _HIGH
 
 
-def _blocks(rows: DataFrame, size: int, scale: float) -> DataFrame:
-    """(block, ids, width, cells): rows of up to ``size`` vectors each, as integers held in doubles."""
-    from pyspark import TaskContext
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+def _blocks(rows: DataFrame, side: int, size: int, scale: float) -> DataFrame:
+    """Rows (band, part, row, vec_id, vector, s) in blocks of up to ``size`` of one band and part, vectors as integers."""
+    schema = arrow_schema(_BLOCK)
 
-        def cut() -> dict:
-            nonlocal number
-            ids = np.concatenate([i for i, _ in held])
-            width = max(m.shape[1] for _, m in held)
-            cells = np.concatenate([np.pad(m, ((0, 0), (0, width - m.shape[1]))) for _, m in held])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+
+        def cut() -> pa.RecordBatch:
+            width = max(h[2].shape[1] for h in held)
+            cells = np.concatenate([np.pad(h[2], ((0, 0), (0, width - h[2].shape[1]))) for h in held])
+            kind, packed = pack(cells)
+            own = [np.concatenate([h[i] for h in held]) for i in (0, 1, 3)]
             held.clear()
-            number += 1
-            return {"block": [number - 1], "ids": [ids.astype("<i8").tobytes()], "width": [width], "cells": [cells.tobytes()]}
+            return to_batch({"band": [now[0]], "part": [now[1]], "side": [side], "rows": [own[0].tobytes()], "ids": [own[1].tobytes()], "width": [width], "kind": [kind], "cells": [packed], "tau": [own[2].tobytes()]}, schema)
 
         for batch in batches:
-            ids, cells = batch.column(0).to_numpy(zero_copy_only=False), np.floor(scale * matrix(batch.column(1)))
-            at = 0
-            while at < len(ids):
-                room = size - sum(len(i) for i, _ in held)
-                held.append((ids[at : at + room], cells[at : at + room]))
-                at += room
-                if sum(len(i) for i, _ in held) >= size:
-                    yield to_batch(cut(), schema)
+            band, part, row = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            ids = batch.column(3).fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+            cells = np.floor(scale * matrix(batch.column(4)))
+            tau = np.array([-np.inf if x is None else _below(x) for x in batch.column(5).to_pylist()])
+            place = band * (1 << 31) + part
+            edges = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(row)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a < b and held and now != (int(band[a]), int(part[a])):
+                    yield cut()
+                while a < b:
+                    now = int(band[a]), int(part[a])
+                    room = min(b - a, size - sum(len(h[0]) for h in held))
+                    held.append((row[a : a + room], ids[a : a + room], cells[a : a + room], tau[a : a + room]))
+                    a += room
+                    if sum(len(h[0]) for h in held) >= size:
+                        yield cut()
         if held:
-            yield to_batch(cut(), schema)
+            yield cut()
 
-    schema = arrow_schema(_BLOCK)
-    return rows.mapInArrow(pack, _BLOCK)
+    return rows.select("band", "part", "row", "vec_id", "vector", "s").mapInArrow(run, _BLOCK)
 
 
-def _unblock(ids: bytes, width: int, cells: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, "<i8"), np.frombuffer(cells, np.float64).reshape(-1, width)
+def _below(x: int) -> float:
+    """The double nearest to an integer, the next one down if doubles cannot hold it."""
+    return float(x) if abs(x) < 1 << 53 else float(np.nextafter(float(x), -np.inf))
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -95,144 +109,114 @@ def _cut(width: int, slices: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
 
 
-class _Best:
-    """The k best (score, id) of each query of a block so far, ties to smaller ids."""
+class _Queries:
+    """A block of queries, and the k best (score, id, row) of each so far, ties to smaller ids."""
 
-    def __init__(self, ids: np.ndarray, k: int):
-        self.ids, self.k = ids, k
-        self.q, self.v, self.s = (np.zeros(0, np.int64) for _ in range(3))
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, cells: np.ndarray, tau: np.ndarray, k: int):
+        self.rows, self.ids, self.cells, self.tau, self.k = rows, ids, cells, tau, k
+        self.q, self.v, self.r, self.s = (np.zeros(0, np.int64) for _ in range(4))
 
-    def add(self, q: np.ndarray, v: np.ndarray, s: np.ndarray) -> None:
-        q, v, s = (np.concatenate([old, new.astype(np.int64)]) for old, new in ((self.q, q), (self.v, v), (self.s, s)))
-        order = np.lexsort((v, ~s, q))  # ~s falls as s rises, without overflow
-        q, v, s = q[order], v[order], s[order]
+    def add(self, q: np.ndarray, v: np.ndarray, r: np.ndarray, s: np.ndarray) -> None:
+        """Entries of queries q: candidate ids v, rows r and scores s."""
+        q, v, r, s = (np.concatenate([old, new.astype(np.int64)]) for old, new in ((self.q, q), (self.v, v), (self.r, r), (self.s, s)))
+        order = np.lexsort((r, v, ~s, q))  # ~s falls as s rises, without overflow
+        q, v, r, s = q[order], v[order], r[order], s[order]
         fresh = np.ones(len(q), bool)
-        fresh[1:] = (q[1:] != q[:-1]) | (v[1:] != v[:-1])
-        q, v, s = q[fresh], v[fresh], s[fresh]
-        first = np.searchsorted(q, q)
-        stay = np.arange(len(q)) - first < self.k
-        self.q, self.v, self.s = q[stay], v[stay], s[stay]
+        fresh[1:] = (q[1:] != q[:-1]) | (r[1:] != r[:-1])
+        q, v, r, s = q[fresh], v[fresh], r[fresh], s[fresh]
+        stay = np.arange(len(q)) - np.searchsorted(q, q) < self.k
+        self.q, self.v, self.r, self.s = q[stay], v[stay], r[stay], s[stay]
 
-    def rows(self) -> dict:
-        return {"query_id": self.ids[self.q], "vec_id": self.v, "score": self.s}
+    def found(self) -> dict:
+        return {"query_row": self.rows[self.q], "query_id": self.ids[self.q], "row": self.r, "vec_id": pa.array(self.v, mask=self.v == _NO_ID), "score": self.s}
 
 
-def _first_lists(ids, cells, other_ids, others, tau, k: int, slices: int, best: _Best) -> None:
+def _first_lists(own: _Queries, rows: np.ndarray, ids: np.ndarray, others: np.ndarray, slices: int) -> None:
     """Phase 1: per query and slice the k best local scores of a block, scored in full."""
-    cells, others = same_width(cells, others)
+    cells, others = same_width(own.cells, others)
     n = others.shape[0]
-    most = min(n, k + 1)  # one of them may be the query itself
-    rows = np.repeat(np.arange(len(ids)), most)
+    most = min(n, own.k + 1)  # one of them may be the query itself
+    q = np.repeat(np.arange(len(own.rows)), most)
     for part in _cut(cells.shape[1], slices):
         local = _products(cells[:, part], others[:, part])
         near = np.argpartition(-local, most - 1, axis=1)[:, :most] if most < n and local.dtype != object else np.argsort(-local, axis=1, kind="stable")[:, :most]
-        cols = near.ravel()
-        own = other_ids[cols] != ids[rows]
-        q, c = rows[own], cols[own]
-        best.add(q, other_ids[c], _score(cells[q], others[c]))
+        c = near.ravel()
+        good = rows[c] != own.rows[q]
+        own.add(q[good], ids[c[good]], rows[c[good]], _score(cells[q[good]], others[c[good]]))
 
 
-def _resolve(ids, cells, other_ids, others, tau, k: int, slices: int, best: _Best) -> None:
+def _resolve(own: _Queries, rows: np.ndarray, ids: np.ndarray, others: np.ndarray, slices: int) -> None:
     """Phases 2 and 3: entries with a local score at an even share of the cutoff, scored exactly."""
-    cells, others = same_width(cells, others)
+    cells, others = same_width(own.cells, others)
     parts = _cut(cells.shape[1], slices)
-    for at in range(0, len(ids), 128):
-        own, cut = cells[at : at + 128], tau[at : at + 128]
-        share = (cut / len(parts))[:, None]
-        taken = np.zeros((len(own), len(other_ids)), bool)
-        for part in parts:
-            taken |= (_products(own[:, part], others[:, part]) >= share).astype(bool)
-        taken &= other_ids[None, :] != ids[at : at + 128, None]
-        if taken.sum() * 16 > taken.size:  # then one product of all is cheaper, and the same
-            score = _products(own, others)
-            q, c = np.nonzero(taken & (score >= cut[:, None]).astype(bool))
-            best.add(q + at, other_ids[c], score[q, c])
-            continue
-        q, c = np.nonzero(taken)
-        for i in range(0, len(q), 1 << 16):
-            a, b = q[i : i + (1 << 16)], c[i : i + (1 << 16)]
-            score = _score(own[a], others[b])
-            hit = score >= cut[a]
-            best.add(a[hit] + at, other_ids[b[hit]], score[hit])
-
-
-def _over_pairs(pairs: DataFrame, step, k: int, slices: int) -> DataFrame:
-    """Run a phase over block pairs that come sorted by query block; k rows per query and task at most."""
+    share = (own.tau / len(parts))[:, None]
+    taken = np.zeros((len(cells), len(rows)), bool)
+    for part in parts:
+        taken |= (_products(cells[:, part], others[:, part]) >= share).astype(bool)
+    taken &= rows[None, :] != own.rows[:, None]
+    q, c = np.nonzero(taken)
+    for i in range(0, len(q), 1 << 16):
+        a, b = q[i : i + (1 << 16)], c[i : i + (1 << 16)]
+        score = _score(cells[a], others[b])
+        hit = score >= own.tau[a]
+        own.add(a[hit], ids[b[hit]], rows[b[hit]], score[hit])
+
+
+def _over_tiles(tiles: DataFrame, step, k: int, slices: int) -> DataFrame:
+    """Run a phase over tiles, whose queries come first; k rows per query and tile at most."""
     schema = arrow_schema(_HITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, best, ids, cells, tau = None, None, None, None, None
+        now, held = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["q_block"] != now:
-                    if best is not None:
-                        yield to_batch(best.rows(), schema)
-                    now = row["q_block"]
-                    ids, cells = _unblock(row["q_ids"], row["q_width"], row["q_cells"])
-                    tau = np.frombuffer(row["tau"], np.float64) if row["tau"] else None
-                    best = _Best(ids, k)
-                other_ids, others = _unblock(row["ids"], row["width"], row["cells"])
-                step(ids, cells, other_ids, others, tau, k, slices, best)
-        if best is not None:
-            yield to_batch(best.rows(), schema)
-
-    return pairs.mapInArrow(run, _HITS)
+            for at in range(batch.num_rows):  # a block at a time, not a batch of them
+                r = batch.slice(at, 1).to_pylist()[0]
+                if (r["band"], r["part"]) != now:
+                    for own in held:
+                        yield to_batch(own.found(), schema)
+                    now, held = (r["band"], r["part"]), []
+                rows, ids, cells = np.frombuffer(r["rows"], "<i8"), np.frombuffer(r["ids"], "<i8"), unpack(r["kind"], r["width"], r["cells"])
+                if r["side"] == 0:
+                    held.append(_Queries(rows, ids, cells, np.frombuffer(r["tau"], np.float64), k))
+                    continue
+                for own in held:
+                    step(own, rows, ids, cells, slices)
+        for own in held:
+            yield to_batch(own.found(), schema)
+
+    return tiles.mapInArrow(run, _HITS)
 
 
 def _best_of(hits: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return hits.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), F.col("row"))
+    return hits.dropDuplicates(["query_row", "row"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def top_k(table: DataFrame, workspace: Workspace, is_query: Column, k: int = 5, scale: float = 256.0, slices: int = 2, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k best candidates of each query: query_id, rank, vec_id, score.
 
-    ``is_query`` is a condition on ``vec_id``; every other vector is a candidate of a query. The
-    queries are a stated set: query blocks meet candidate blocks, not rows meet rows.
+    ``is_query`` is a condition on ``vec_id``; every other row is a candidate of a query. The queries
+    are a stated set: bands of queries meet parts of the candidates, not rows meet rows.
     """
-    spark = table.sparkSession
-    rows = workspace.table(one_per_id(table, id_col, vector_col).where(finite()), "vectors")
-    queries = rows.where(is_query)
-    tasks = max(1, -(-queries.count() // QUERY_BLOCK))
-    q_blocks = workspace.table(_blocks(queries.repartition(tasks, "vec_id"), QUERY_BLOCK, scale), "queries")
-    blocks = workspace.table(_blocks(rows, CANDIDATE_BLOCK, scale), "candidates")
-    q_side = q_blocks.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("cells").alias("q_cells"))
-
-    def pairs(q_side: DataFrame) -> DataFrame:
-        """Every query block with every candidate block, dealt evenly and sorted by query block."""
-        # a list of block numbers, one per 1024 queries
-        numbers = [r[0] for r in q_side.select("q_block").collect()]
-        dealt = blocks.withColumn("q_block", F.explode(F.array(*map(F.lit, numbers)).cast("array<long>")))
-        return dealt.join(q_side, "q_block").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "q_block", "block").sortWithinPartitions("q_block", "block")
-
-    first = _best_of(_over_pairs(pairs(q_side.withColumn("tau", F.lit(None).cast("binary"))), _first_lists, k, slices), k)
-    cutoffs = first.groupBy("query_id").agg(F.min("score").alias("s"), F.count("*").alias("n"))
-    cutoffs = workspace.table(cutoffs.where(F.col("n") >= k).select("query_id", "s"), "cutoffs")
-
-    # Cutoffs by query block: as many numbers as the block has queries.
-    places = q_blocks.select("block", "ids").mapInArrow(_places, "block long, at int, query_id long")
-    by_block = places.join(cutoffs, "query_id", "left").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("t"))
-    packed = by_block.select("block", F.col("t.s").alias("s")).mapInArrow(_pack_cutoffs, "block long, tau binary")
-    with_tau = workspace.table(q_side.join(packed.withColumnRenamed("block", "q_block"), "q_block"), "queries_with_cutoff")
-    hits = _over_pairs(pairs(with_tau), _resolve, k, slices)
+    rows = workspace.table(numbered(table, id_col, vector_col, workspace).where(finite()), "usable")
+    queries, total = rows.where(F.coalesce(is_query, F.lit(False))), rows.count()
+    bands = max(1, -(-queries.count() // QUERY_BAND))
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(-(-TILES * cores // bands), -(-total // CANDIDATE_BLOCK)))
+    placed = lambda df, column, number: df.withColumn(column, F.pmod(F.xxhash64("row"), F.lit(number)).cast("int")).repartition(number, column).sortWithinPartitions(column)
+    none, nothing = F.lit(0), F.lit(None).cast("long")
+    dealt = placed(rows, "part", parts).withColumn("band", none).withColumn("s", nothing)
+    candidates = workspace.table(_blocks(dealt, 1, CANDIDATE_BLOCK, scale), "candidates")
+    spread = lambda df, column, number: df.withColumn(column, F.explode(F.sequence(F.lit(0), F.lit(number - 1))))
+
+    def tiles(with_cutoff: DataFrame, name: str) -> DataFrame:
+        own = placed(with_cutoff, "band", bands).withColumn("part", none)
+        own = workspace.table(_blocks(own, 0, QUERY_BLOCK, scale), name)
+        met = spread(own, "part", parts).unionByName(spread(candidates, "band", bands))
+        return met.repartition(bands * parts, "band", "part").sortWithinPartitions("band", "part", "side")
+
+    first = _best_of(_over_tiles(tiles(queries.withColumn("s", nothing), "queries"), _first_lists, k, slices), k)
+    cutoffs = first.groupBy("query_row").agg(F.min("score").alias("s"), F.count("*").alias("n")).where(F.col("n") >= k)
+    cutoffs = workspace.table(cutoffs.select(F.col("query_row").alias("row"), "s"), "cutoffs")
+    hits = _over_tiles(tiles(queries.join(cutoffs, "row", "left"), "queries_with_cutoff"), _resolve, k, slices)
     return _best_of(hits, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("query_id", pa.int64())])
-    for batch in batches:
-        for block, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = np.frombuffer(ids, "<i8")
-            yield to_batch({"block": np.full(len(own), block), "at": np.arange(len(own)), "query_id": own}, schema)
-
-
-def _below(x: int) -> float:
-    """The double nearest to an integer, the next one down if doubles cannot hold it."""
-    return float(x) if abs(x) < 1 << 53 else float(np.nextafter(float(x), -np.inf))
-
-
-def _pack_cutoffs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("block", pa.int64()), ("tau", pa.binary())])
-    for batch in batches:
-        cut = [np.array([-np.inf if x is None else _below(x) for x in own]).tobytes() for own in batch.column(1).to_pylist()]
-        yield to_batch({"block": batch.column(0), "tau": cut}, schema)

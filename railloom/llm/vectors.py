@@ -7,11 +7,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from railloom.workspace import Workspace
 
-def one_per_id(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, vector) without null ids; of rows that share an id, the smallest vector stays."""
-    rows = table.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("vector")).where("vec_id IS NOT NULL")
-    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+
+def numbered(table: DataFrame, id_col: str, vector_col: str, workspace: Workspace) -> DataFrame:
+    """(row, vec_id, vector): every row under a number of its own, whatever its id; written, so that the numbers stay."""
+    rows = table.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("vector"))
+    return workspace.table(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "vector"), "vectors")
+
+
+def pack(m: np.ndarray) -> tuple[str, bytes]:
+    """A matrix as the smallest kind of number that holds it exactly, and its bytes."""
+    for kind in ("<i2", "<f4"):
+        with np.errstate(all="ignore"):
+            small = m.astype(kind)
+            if (small.astype(np.float64) == m).all():
+                return kind, small.tobytes()
+    return "<f8", m.astype("<f8").tobytes()
+
+
+def unpack(kind: str, width: int, cells: bytes) -> np.ndarray:
+    return np.frombuffer(cells, kind).reshape(-1, width).astype(np.float64)
 
 
 def finite(vector: str | Column = "vector") -> Column:
