@@ -37,6 +37,13 @@ def board_monotonic(st: DataFrame, stop: str) -> DataFrame:
     return rows.select("pattern", "seq", F.coalesce(fell, F.lit(False)).alias("fell")).groupBy("pattern", "seq").agg((~F.bool_or("fell")).alias("monotonic"), F.count("*").alias("n_trips"))
 
 
+def routes(st: DataFrame) -> DataFrame:
+    """Stop times with what boarding needs: pattern, and whether times never fall at the pattern's position."""
+    flags = board_monotonic(st, "k").select("pattern", "seq", "monotonic")
+    rows = st.join(patterns(st, "k").select("trip_id", "pattern"), "trip_id")
+    return rows.join(flags, ["pattern", "seq"]).select("trip_id", "pattern", "seq", "k", "t", "monotonic")
+
+
 def _pair(stops: DataFrame) -> tuple[DataFrame, DataFrame]:
     side = lambda s: stops.select(*(F.col(c).alias(f"{c}_{s}") for c in ("k", "stop_id", "lat", "lon")))
     return side("a"), side("b")
@@ -74,7 +81,7 @@ def transfer_edges(stops: DataFrame) -> DataFrame:
 def trip_speeds(st: DataFrame, stops: DataFrame) -> DataFrame:
     """Mean speed of each trip over hops that move; null where none does."""
     a, b = _pair(stops)
-    moved = hops(st).join(F.broadcast(a.select(F.col("k_a").alias("src"), "lat_a", "lon_a")), "src").join(F.broadcast(b.select(F.col("k_b").alias("dst"), "lat_b", "lon_b")), "dst")
+    moved = hops(st).join(a.select(F.col("k_a").alias("src"), "lat_a", "lon_a"), "src").join(b.select(F.col("k_b").alias("dst"), "lat_b", "lon_b"), "dst")
     moved = moved.withColumn("m", haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))).where("arr > dep AND m > 0")
     speeds = moved.groupBy("trip_id").agg((F.sum("m") / F.sum(F.col("arr") - F.col("dep"))).alias("speed"))
     return st.select("trip_id", "route_type").distinct().join(speeds, "trip_id", "left")
@@ -89,7 +96,7 @@ def trip_factors(st: DataFrame, stops: DataFrame) -> DataFrame:
 def station_edges(st: DataFrame, stops: DataFrame) -> DataFrame:
     """Shortest time between successive stations, from the arrival at the first stop of a station's run."""
     trip = Window.partitionBy("trip_id").orderBy("seq")
-    named = st.join(F.broadcast(stops.select("k", station_key(F.col("stop_id")).alias("station"))), "k")
+    named = st.join(stops.select("k", station_key(F.col("stop_id")).alias("station")), "k")
     heads = named.withColumn("before", F.lag("station").over(trip)).where("before IS NULL OR before <> station")
     legs = heads.select("station", F.lead("station").over(trip).alias("dst"), (F.lead("t").over(trip) - F.col("t")).alias("s"))
     return legs.where("dst IS NOT NULL AND s >= 0").groupBy(F.col("station").alias("src"), "dst").agg(F.min("s").alias("seconds"))

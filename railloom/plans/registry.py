@@ -7,15 +7,12 @@ from pyspark.sql import functions as F
 
 from railloom.functions import columns as C
 from railloom.operators import indexes as I
+from railloom.operators import journeys as J
 from railloom.operators import search as S
 from railloom.plans.oracles import ORACLES
 from railloom.sources import timetable as T
 from railloom.workspace import Workspace
 
-#: Users whose trips make the network of two_hop_expansion and of the path queries, as their SQL has it.
-FEW = 15
-
-
 def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n_events"))
 
@@ -36,18 +33,19 @@ def departure_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = T.stops(spark).select(F.col("k").alias("src"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"))
-    b = T.stops(spark).select(F.col("k").alias("dst"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
+    """The distance of every two stops that a trip visits one after the other."""
+    a, b = I._pair(T.stops(spark, sf_dir))
+    pairs = I.hops(T.stop_times(spark, sf_dir)).select(F.col("src").alias("k_a"), F.col("dst").alias("k_b")).distinct()
     meters = C.haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    return a.join(b, F.col("src") != F.col("dst")).select("src", "dst", F.round(meters, 3).alias("meters"))
+    return pairs.join(a, "k_a").join(b, "k_b").select(F.col("k_a").alias("src"), F.col("k_b").alias("dst"), F.round(meters, 3).alias("meters"))
 
 
 def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.stops(spark).select("k", F.floor(F.col("lat") / I.CELL).alias("r"), F.floor(F.col("lon") / I.CELL).alias("c"))
+    return T.stops(spark, sf_dir).select("k", F.floor(F.col("lat") / I.CELL).alias("r"), F.floor(F.col("lon") / I.CELL).alias("c"))
 
 
 def station_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.stops(spark).select("k", C.station_key(F.col("stop_id")).alias("station"))
+    return T.stops(spark, sf_dir).select("k", C.station_key(F.col("stop_id")).alias("station"))
 
 
 def stop_text_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +58,7 @@ def incoming_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_hop_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = I.ride_edges(T.stop_times(spark, sf_dir, FEW)).select(F.col("src").alias("k"), F.col("dst").alias("near"))
+    edges = I.ride_edges(T.stop_times(spark, sf_dir)).select(F.col("src").alias("k"), F.col("dst").alias("near"))
     both = edges.unionByName(edges.select(F.col("near").alias("k"), F.col("k").alias("near"))).distinct()
     second = both.select(F.col("k").alias("near"), F.col("near").alias("far"))
     return both.join(second, "near").select("k", F.col("far").alias("near")).unionByName(both).distinct()
@@ -76,82 +74,85 @@ def pattern_trips_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trip_avg_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.trip_speeds(T.stop_times(spark, sf_dir), T.stops(spark)).select("trip_id", F.round("speed", 6).alias("speed"))
+    return I.trip_speeds(T.stop_times(spark, sf_dir), T.stops(spark, sf_dir)).select("trip_id", F.round("speed", 6).alias("speed"))
 
 
 def network_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.trip_factors(T.stop_times(spark, sf_dir), T.stops(spark)).groupBy("route_type", "cost_factor").agg(F.count("*").alias("n_trips"))
+    return J.network_profile(I.trip_factors(T.stop_times(spark, sf_dir), T.stops(spark, sf_dir)))
 
 
 def station_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stations = T.stops(spark).groupBy(C.station_key(F.col("stop_id")).alias("station"))
+    stations = T.stops(spark, sf_dir).groupBy(C.station_key(F.col("stop_id")).alias("station"))
     return stations.agg(F.round(F.avg("lat"), 9).alias("lat"), F.round(F.avg("lon"), 9).alias("lon"))
 
 
 def _station_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.station_edges(T.stop_times(spark, sf_dir), T.stops(spark))
-
-
-def origin_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = I.near_pairs(T.stops(spark), 300.0, 300.0 / 70_000)  # a cell no narrower than the radius at this latitude
-    order = Window.partitionBy("k_a").orderBy(F.round("m", 6), "k_b")
-    return near.withColumn("n", F.row_number().over(order)).where("n <= 12").select(F.col("k_a").alias("src"), F.col("k_b").alias("dst"), "n")
+    return I.station_edges(T.stop_times(spark, sf_dir), T.stops(spark, sf_dir))
 
 
 def boardings_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.boardings(T.requests(spark, sf_dir), T.stop_times(spark, sf_dir)).select("query_id", "trip_id", "seq", "board_t")
+    return S.boardings(T.sources(T.requests(spark, sf_dir)), I.routes(T.stop_times(spark, sf_dir)))
 
 
 def ride_alightings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    st = T.stop_times(spark, sf_dir)
-    return S.alightings(S.boardings(T.requests(spark, sf_dir), st), st)
+    routes = I.routes(T.stop_times(spark, sf_dir))
+    return S.alightings(S.boardings(T.sources(T.requests(spark, sf_dir)), routes), routes)
+
 
+def static_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least ride times from every stop that a request starts from, whatever the timetable."""
+    edges = I.ride_edges(T.stop_times(spark, sf_dir)).select("src", "dst", "seconds")
+    starts = T.requests(spark, sf_dir).select(F.col("from_k").alias("source"), F.col("from_k").alias("node")).distinct()
+    return S.shortest_paths(starts, edges, Workspace(spark, "static"))
 
-def _paths(spark: SparkSession, sf_dir: str, rounds: int, by_hops: bool) -> DataFrame:
-    edges = I.ride_edges(T.stop_times(spark, sf_dir, FEW)).select("src", "dst", "seconds")
-    sources = T.requests(spark, sf_dir).select("query_id", F.col("from_k").alias("node"))
-    return S.shortest_paths(sources, edges, Workspace(spark, "paths"), rounds, by_hops)
+
+def station_hop_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least hops, then least time, between stations, for up to two hops more than transfers are allowed."""
+    edges = _station_edges(spark, sf_dir)
+    starts = edges.select(F.col("src").alias("source"), F.col("src").alias("node")).distinct()
+    return S.shortest_paths(starts, edges, Workspace(spark, "hops"), S.MOST_TRANSFERS + 2, True)
 
 
 #: What the labels of a request depend on.
 SOURCE = ["from_k", "departure"]
 
 
-def _source_labels(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
-    """The labels of each distinct source of ``asked``, once: SOURCE and the columns of the labels."""
+def labels_from(spark: SparkSession, sf_dir: str, sources: DataFrame, most: int = S.MOST_TRANSFERS, scan: int = S.SCAN) -> DataFrame:
+    """The labels of ``sources`` (from_k, departure) over the trips of all users."""
     workspace = Workspace(spark, "labels")
     st = workspace.table(T.stop_times(spark, sf_dir), "stop_times")
-    trips = workspace.table(st.join(I.patterns(st, "k").select("trip_id", "pattern"), "trip_id").select("trip_id", "pattern", "k", "t", "seq"), "trips")
-    sources = asked.groupBy(*SOURCE).agg(F.min("query_id").alias("query_id"))
-    sources = workspace.table(sources, "sources")
-    labels = S.label_rounds(sources, trips, I.trip_factors(st, T.stops(spark)), I.transfer_edges(T.stops(spark)), workspace)
-    return labels.join(sources, "query_id").drop("query_id")
+    routes = workspace.table(I.routes(st), "routes")
+    factors = workspace.table(I.trip_factors(st, T.stops(spark, sf_dir)), "factors")
+    walks = workspace.table(I.transfer_edges(T.stops(spark, sf_dir)), "walks")
+    return S.label_rounds(workspace.table(sources, "sources"), routes, factors, walks, workspace, most=most, scan=scan)
 
 
 def raptor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best labels of all stops for all requests, with their paths."""
-    asked = T.requests(spark, sf_dir, None)
-    made = asked.join(_source_labels(spark, sf_dir, asked), SOURCE)
-    return made.select("query_id", "k", "cost", "walk", "arr", "path", "transfers")
+    """Best labels of all stops, with their paths, for every source that a request has."""
+    return labels_from(spark, sf_dir, T.sources(T.requests(spark, sf_dir)))
 
 
 def reliability_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of requests whose destination has a label."""
-    asked = T.requests(spark, sf_dir, None)
-    labels = _source_labels(spark, sf_dir, asked).select(*SOURCE, F.col("k").alias("to_k"), F.lit(1).alias("found"))
-    pairs = asked.groupBy(*SOURCE, "to_k").agg(F.count("*").alias("n")).join(labels, [*SOURCE, "to_k"], "left")
-    found = F.sum(F.coalesce("found", F.lit(0)) * F.col("n")) / F.sum("n")
-    return pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_requests"), F.round(found, 6).alias("found_rate"))
-
-
-def transfer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.stop_times(spark, sf_dir).groupBy("user_id").agg((F.countDistinct("trip_id") - 1).alias("changes"))
-
-
-def stop_bbox_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = T.stop_times(spark, sf_dir).join(F.broadcast(T.stops(spark)), "k")  # 100 stops
-    cut = lambda c, q: F.round(F.percentile(c, F.lit(q)), 9)
-    return at.agg(cut("lat", 0.005).alias("lat_low"), cut("lat", 0.995).alias("lat_high"), cut("lon", 0.005).alias("lon_low"), cut("lon", 0.995).alias("lon_high"))
+    """Share of requests whose destination has a label, and of those that only the static search answers."""
+    asked = T.requests(spark, sf_dir)
+    labels = raptor_labels(spark, sf_dir).select(*SOURCE, F.col("k").alias("to_k"), F.lit(1).alias("found"))
+    static = static_shortest_path(spark, sf_dir).select(F.col("source").alias("from_k"), F.col("node").alias("to_k"), F.lit(1).alias("reached"))
+    pairs = asked.groupBy(*SOURCE, "to_k").agg(F.count("*").alias("n")).join(labels, [*SOURCE, "to_k"], "left").join(static, ["from_k", "to_k"], "left")
+    late = F.when(F.col("found").isNull() & F.col("reached").isNotNull(), F.col("n")).otherwise(0)
+    share = lambda x: F.round(F.sum(x) / F.sum("n"), 6)
+    any_ = F.when(F.coalesce("found", "reached").isNotNull(), F.col("n")).otherwise(0)
+    return pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_requests"), share(any_).alias("found_rate"), share(late).alias("fallback_rate"))
+
+
+def stop_bbox_quantiles(spark: SparkSession, sf_dir: str, margin_m: float = 500.0) -> DataFrame:
+    """The box of all stops with a margin: of their middle 99 % where there are 100 or more, else of all."""
+    at = T.stops(spark, sf_dir).where("lat IS NOT NULL AND lon IS NOT NULL")
+    cut = lambda c, q, end: F.when(F.count(c) >= 100, F.percentile(c, F.lit(q))).otherwise(end(c))
+    box = at.agg(*(cut(c, q, end).alias(f"{c}_{n}") for c in ("lat", "lon") for n, q, end in (("low", 0.005, F.min), ("high", 0.995, F.max))))
+    north = F.lit(margin_m / 111_320)
+    east = F.lit(margin_m) / (111_320 * F.greatest(F.lit(1e-6), F.cos(F.radians((F.col("lat_low") + F.col("lat_high")) / 2))))
+    made = {"lat_low": F.col("lat_low") - north, "lat_high": F.col("lat_high") + north, "lon_low": F.col("lon_low") - east, "lon_high": F.col("lon_high") + east}
+    return box.select(*(F.round(x, 9).alias(c) for c, x in made.items()))
 
 
 QUERIES = {
@@ -169,24 +170,22 @@ QUERIES = {
     "route_patterns": route_patterns,
     "pattern_trips_ranked": pattern_trips_ranked,
     "board_monotonic": lambda s, d: I.board_monotonic(T.stop_times(s, d), "event_type"),
-    "same_station_transfers": lambda s, d: I.same_station_transfers(T.stops(s)),
-    "nearby_transfers": lambda s, d: I.nearby_transfers(T.stops(s)),
-    "transfer_edges": lambda s, d: I.transfer_edges(T.stops(s)),
+    "same_station_transfers": lambda s, d: I.same_station_transfers(T.stops(s, d)),
+    "nearby_transfers": lambda s, d: I.nearby_transfers(T.stops(s, d)),
+    "transfer_edges": lambda s, d: I.transfer_edges(T.stops(s, d)),
     "trip_avg_speed": trip_avg_speed,
-    "trip_cost_factor": lambda s, d: I.trip_factors(T.stop_times(s, d), T.stops(s)),
+    "trip_cost_factor": lambda s, d: I.trip_factors(T.stop_times(s, d), T.stops(s, d)),
     "network_profile": network_profile,
     "station_centroids": station_centroids,
     "station_edges": _station_edges,
     "station_degrees": lambda s, d: I.station_degrees(_station_edges(s, d)),
-    "hub_stations": lambda s, d: I.hubs(I.station_degrees(_station_edges(s, d)), 10),
-    "origin_candidates": origin_candidates,
+    "hub_stations": lambda s, d: I.hubs(I.station_degrees(_station_edges(s, d))),
     "boardings_asof": boardings_asof,
     "ride_alightings": ride_alightings,
-    "static_shortest_path": lambda s, d: _paths(s, d, 4, False),
-    "station_hop_path": lambda s, d: _paths(s, d, 3, True),
+    "static_shortest_path": static_shortest_path,
+    "station_hop_path": station_hop_path,
     "raptor_labels": raptor_labels,
     "reliability_rates": reliability_rates,
-    "transfer_counts": transfer_counts,
     "stop_bbox_quantiles": stop_bbox_quantiles,
 }
 FLAGSHIP = "ride_alightings"

@@ -1,4 +1,4 @@
-"""Timetable views over plain tables: stop times and stops from events, requests from orders."""
+"""Timetable views over plain tables: stop times from events, stops from customers, requests from orders and nations."""
 
 from __future__ import annotations
 
@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 ROUTE_TYPES = (-1, 0, 2, 3, 4)
 
 
-def stop_times(spark: SparkSession, sf_dir: str, users: int | None = None) -> DataFrame:
+def stop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, trip_id, k, t, seq, event_type, route_type): a trip is a user's day."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "props")
-    if users is not None:
-        events = events.where(F.col("user_id") < users)
     day = F.col("ts").cast("date")
     order = Window.partitionBy("user_id", day).orderBy("ts", "event_id")
     return events.select(
@@ -25,22 +23,34 @@ def stop_times(spark: SparkSession, sf_dir: str, users: int | None = None) -> Da
     )
 
 
-def stops(spark: SparkSession) -> DataFrame:
-    """The lattice of 100 stops: (k, stop_id, lat, lon)."""
-    k = F.col("id").cast("int")
-    return spark.range(100).select(
-        k.alias("k"), F.concat(F.lit("ST"), F.expr("id div 4"), F.lit(":"), k % 4).alias("stop_id"),
-        (F.lit(46.5) + (k % 10) * F.lit(0.0009)).alias("lat"), (F.lit(6.6) + F.expr("id div 10") * F.lit(0.0009)).alias("lon"),
+def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, stop_id, lat, lon): a stop for every customer, on a lattice ten wide that grows with the table."""
+    at = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("int").alias("k"))
+    return at.select(
+        "k", F.concat(F.lit("ST"), F.expr("k div 4"), F.lit(":"), F.col("k") % 4).alias("stop_id"),
+        (F.lit(46.5) + (F.col("k") % 10) * F.lit(0.0009)).alias("lat"), (F.lit(6.6) + F.expr("k div 10") * F.lit(0.0009)).alias("lon"),
     )
 
 
-def requests(spark: SparkSession, sf_dir: str, below: int | None = 20) -> DataFrame:
-    """(query_id, from_k, to_k, departure) for the orders of the smallest keys, or of all keys without ``below``."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    if below is not None:
-        o = o.where(F.col("o_orderkey") < below)
-    made = o.select(
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, from_k, to_k, departure): a request for every order between two stops."""
+    made = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         F.col("o_orderkey").alias("query_id"), (F.col("o_custkey") % 100).cast("int").alias("from_k"),
         (F.col("o_orderkey") * 7 % 100).cast("int").alias("to_k"), (F.lit(28800) + F.col("o_orderkey") % 8 * 1800).alias("departure"),
     )
     return made.where("from_k <> to_k")
+
+
+def sources(asked: DataFrame) -> DataFrame:
+    """(from_k, departure): what searches start from, each once however many requests share it."""
+    return asked.select("from_k", "departure").distinct()
+
+
+def journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, from_k, to_k, departure): a request for every nation, for whole answers; every sixth leaves late at night."""
+    n = F.col("n_nationkey")
+    made = spark.read.parquet(f"{sf_dir}/nation.parquet").select(
+        n.cast("long").alias("query_id"), (n * 4 % 100).cast("int").alias("from_k"), (n * 13 % 100 + 37).cast("int").alias("to"),
+        F.when(n % 6 == 5, 86_280 + n).otherwise(28_800 + n % 8 * 1800).cast("long").alias("departure"),
+    )
+    return made.select("query_id", "from_k", (F.col("to") % 100).cast("int").alias("to_k"), "departure").where("from_k <> to_k")

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from railloom.plans import registry
+from railloom.plans import answers, answers_sql, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,12 +20,15 @@ def cells(row):
     return tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in row)
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+QUERIES, ORACLES = registry.QUERIES | answers.QUERIES, registry.ORACLES | answers_sql.ORACLES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows(spark, duck, name):
-    made = registry.QUERIES[name](spark, SF)
+    made = QUERIES[name](spark, SF)
     columns = sorted(made.columns)
     got = sorted(cells(r[c] for c in columns) for r in made.collect())
-    done = duck.execute(registry.ORACLES[name])
+    done = duck.execute(ORACLES[name])
     names = [d[0] for d in done.description]
     want = sorted(cells(r[names.index(c)] for c in columns) for r in done.fetchall())
     assert sorted(names) == columns and got == want
