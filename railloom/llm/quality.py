@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -52,7 +53,7 @@ MIN_TRUSTED = 20
 STEPS = 4096
 #: Characters counted together, and looked up together.
 COUNT_CHARS, SCORE_CHARS = 1 << 22, 1 << 17
-#: Weights of a shard, 24 bytes each on the way and 22 to 43 in the lookup table that a worker makes of them.
+#: Weights of a shard, about 10 bytes each on the way, packed, and 22 to 43 in the lookup table that a worker makes of them.
 SHARD_ENTRIES = 1 << 22
 #: Languages up to which a row for each is broadcast; more are joined by merging.
 BROADCAST_LANGUAGES = 10_000
@@ -167,11 +168,21 @@ def train(counts: DataFrame, workspace: Workspace) -> DataFrame:
     return workspace.table(made.groupBy("m", "code").agg(F.sum("corr").alias("corr"), F.sum("lgam").alias("lgam")), "weights")
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All weights of a task as one compressed row, by model and code."""
+    table = pa.Table.from_batches(batches, pa.schema([("m", pa.int64()), ("code", pa.int64()), ("corr", pa.float64()), ("lgam", pa.float64())]))
+    if table.num_rows:
+        m, code, corr, lgam = (table.column(c).to_numpy() for c in table.column_names)
+        order = np.lexsort((code, m))
+        raw = b"".join([np.diff(m[order], prepend=0).tobytes(), np.diff(code[order], prepend=0).tobytes(), corr[order].astype("<f4").tobytes(), lgam[order].astype("<f4").tobytes()])
+        yield to_batch({"n": [len(m)], "payload": [zstandard.ZstdCompressor(level=3).compress(raw)]}, pa.schema([("n", pa.int64()), ("payload", pa.binary())]))
+
+
 class Shard:
-    """Weights of one shard behind a table of hashes, which is made once in each worker."""
+    """Weights of one shard behind a table of hashes, which is made once in each worker; packed until then."""
 
-    def __init__(self, m: np.ndarray, code: np.ndarray, corr: np.ndarray, lgam: np.ndarray, whole: bool):
-        self.parts, self.whole = (m, code, corr.astype(np.float32), lgam.astype(np.float32)), whole
+    def __init__(self, parts: list[tuple[int, bytes]], whole: bool):
+        self.parts, self.whole = parts, whole
         self._slots: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
@@ -179,13 +190,23 @@ class Shard:
             raise ValueError("a shard travels before it is used")
         return {"parts": self.parts, "whole": self.whole, "_slots": None}
 
+    def _unpacked(self) -> tuple[np.ndarray, ...]:
+        cols: tuple[list, ...] = ([], [], [], [])
+        for n, payload in self.parts:
+            raw = zstandard.ZstdDecompressor().decompress(payload)
+            cols[0].append(np.cumsum(np.frombuffer(raw, "<i8", n)))
+            cols[1].append(np.cumsum(np.frombuffer(raw, "<i8", n, 8 * n)))
+            cols[2].append(np.frombuffer(raw, "<f4", n, 16 * n))
+            cols[3].append(np.frombuffer(raw, "<f4", n, 20 * n))
+        return tuple(np.concatenate([np.zeros(0, kind), *c]) for c, kind in zip(cols, (np.int64, np.int64, np.float32, np.float32), strict=True))
+
     @staticmethod
     def _key(m: np.ndarray | int, code: np.ndarray) -> np.ndarray:
         """Never 0, which marks a free slot."""
         return mix64(np.asarray(code).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(m).astype(np.int64).view(np.uint64)) | np.uint64(1)
 
     def _build(self) -> None:
-        m, code, corr, lgam = self.parts
+        m, code, corr, lgam = self._unpacked()
         keys = self._key(m, code)
         self._shift = np.uint64(64 - max(4, (4 * len(keys) // 3).bit_length()))
         home = (keys >> self._shift).astype(np.int64)
@@ -247,8 +268,8 @@ def _shards(weights: DataFrame) -> Iterator[Shard]:
     number = max(1, -(-weights.count() // SHARD_ENTRIES))
     for i in range(number):
         own = weights if number == 1 else weights.where(F.pmod(F.xxhash64("m", "code"), F.lit(number)) == i)
-        rows = own.toArrow()
-        yield Shard(*(rows.column(c).to_numpy() for c in ("m", "code", "corr", "lgam")), number == 1)
+        packed = own.select("m", "code", "corr", "lgam").mapInArrow(_pack, "n long, payload binary").collect()
+        yield Shard([(r.n, bytes(r.payload)) for r in packed], number == 1)
 
 
 def _with_sums(docs: DataFrame, shard: Shard, keep: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ A written set of files holds, in ascending document order, chunks of a fixed num
 a chunk the ids are transposed: plane p holds byte p (or bit p) of every id, so that the mostly
 zero high planes and the skewed low ones compress apart. Each plane is one zstandard frame. The
 chunk index stores for each chunk its shard, position, number of ids and the documents that begin
-in it, so a reader seeks to any document without reading others.
+in it, so a reader seeks to any document without unpacking others.
 
 A shard is one range of documents. Chunks are rows of Parquet files: Spark's writers commit them
 whole or not at all, wherever the files live, and a lost executor only repeats its own shards.
@@ -233,6 +233,44 @@ def chunk_index(chunks: DataFrame) -> DataFrame:
     return chunks.drop("payload").join(F.broadcast(bases), "shard").withColumn("start", start).drop("base")
 
 
+def write_index(chunks: DataFrame, workspace: Workspace, name: str = "chunk_index") -> DataFrame:
+    """The chunk index as a table of its own beside the chunks."""
+    return workspace.table(chunk_index(chunks), name)
+
+
+def read_documents(chunks: DataFrame, index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, start, ids) of the documents whose ids ``wanted`` (doc_id) holds: ids as little-endian unsigned 32-bit integers.
+
+    The index says which chunks hold them; no other chunk is unpacked. Documents that share an id all
+    come out; null ids are not found.
+    """
+    full = index.agg(F.max("n_ids")).first()[0] or 1
+    entry = F.explode(F.arrays_zip("doc_ids", "doc_starts", "doc_tokens", F.sequence(F.lit(0), F.size("doc_ids") - 1).alias("nth")))
+    begun = index.where(F.size("doc_ids") > 0).select("shard", "chunk", "first_doc", F.col("start").alias("base"), entry.alias("e"))
+    begun = begun.select("shard", "chunk", (F.col("first_doc") + F.col("e.nth")).alias("doc"), "base", F.col("e.doc_ids").alias("doc_id"), F.col("e.doc_starts").alias("begin"), F.col("e.doc_tokens").alias("n"))
+    found = begun.join(wanted.select("doc_id").distinct(), "doc_id")
+    end = F.col("begin") + F.col("n")
+    spans = found.select("*", F.explode(F.sequence(F.col("chunk").cast("long"), F.col("chunk") + F.expr(f"(begin + n - 1) div {full}"))).alias("at"))
+    first = (F.col("at") - F.col("chunk")) * full
+    spans = spans.select("shard", F.col("at").cast("int").alias("chunk"), "doc", "doc_id", (F.col("base") + F.col("begin")).alias("start"), F.greatest(F.col("begin").cast("long") - first, F.lit(0)).alias("from"), F.least(end - first, F.lit(full)).alias("to"))
+    by_chunk = spans.groupBy("shard", "chunk").agg(F.collect_list(F.struct("doc", "doc_id", "start", "from", "to")).alias("spans"))
+
+    def cut(batch: pa.RecordBatch) -> Iterator[dict]:
+        for row in batch.to_pylist():
+            raw = memoryview(unpack(row["payload"])).cast("B")
+            own = row["spans"]
+            yield {
+                "shard": [row["shard"]] * len(own), "chunk": [row["chunk"]] * len(own), "doc": [s["doc"] for s in own], "doc_id": [s["doc_id"] for s in own],
+                "start": [s["start"] for s in own], "part": [bytes(raw[4 * s["from"] : 4 * s["to"]]) for s in own],
+            }
+
+    met = chunks.select("shard", "chunk", "payload").join(by_chunk, ["shard", "chunk"])
+    parts = arrow_map(met, "shard int, chunk int, doc long, doc_id long, start long, part binary", cut)
+    whole = parts.groupBy("shard", "doc").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.array_sort(F.collect_list(F.struct("chunk", "part"))).alias("p"))
+    joined = F.aggregate(F.col("p.part"), F.lit(b""), lambda a, b: F.concat(a, b))
+    return whole.select("doc_id", "start", joined.alias("ids"))
+
+
 _POLY = 0xEDB88320
 
 

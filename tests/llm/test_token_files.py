@@ -52,6 +52,12 @@ def test_files_match_brute_force(spark, spec, chunk_ids, bits):
     index = token_files.chunk_index(chunks).orderBy("start").collect()
     assert [r.start for r in index] == [sum(x.n_ids for x in index[:i]) for i in range(len(index))]
 
+    # the stored index leads to single documents, in one chunk or several
+    asked = [r[0] for r in rows[::3]] + [5000, 4711, None]
+    stored = token_files.write_index(chunks, Workspace(spark, "t5"))
+    read = token_files.read_documents(chunks, stored, spark.createDataFrame([(i,) for i in asked], "doc_id long")).collect()
+    assert sorted((r.start, r.doc_id, len(r.ids) // 4, zlib.crc32(r.ids)) for r in read) == [w for w in want if w[1] in asked and w[1] is not None]
+
 
 def test_empty_table(spark, spec):
     docs = spark.createDataFrame([], "doc_id long, text string")
