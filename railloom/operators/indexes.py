@@ -10,6 +10,9 @@ from railloom.functions.columns import haversine_m, route_type_factor, speed_fac
 SAME_STATION_M, NEAR_M, NEAR_K, CELL = 250.0, 120.0, 4, 120.0 / 111_320
 
 
+HALF_HOUR = 1800
+
+
 def hops(st: DataFrame) -> DataFrame:
     """Consecutive stops of each trip: (trip_id, src, dst, seq, dep, arr)."""
     trip = Window.partitionBy("trip_id").orderBy("seq")
@@ -30,11 +33,19 @@ def patterns(st: DataFrame, stop: str) -> DataFrame:
 
 
 def board_monotonic(st: DataFrame, stop: str) -> DataFrame:
-    """Per pattern and position, whether times never fall from trip to trip."""
-    rows = st.join(patterns(st, stop), "trip_id")
-    order = Window.partitionBy("pattern", "seq").orderBy("dep0", "trip_id")
-    fell = F.col("t") < F.lag("t").over(order)
-    return rows.select("pattern", "seq", F.coalesce(fell, F.lit(False)).alias("fell")).groupBy("pattern", "seq").agg((~F.bool_or("fell")).alias("monotonic"), F.count("*").alias("n_trips"))
+    """Per pattern and position, whether times never fall from trip to trip.
+
+    Trips are looked at by half hours of departure, and only the first and last time of each half
+    hour meet those of the next, so that no frequent pattern gathers all its trips in one task.
+    """
+    rows = st.join(patterns(st, stop), "trip_id").withColumn("half", F.expr(f"dep0 div {HALF_HOUR}"))
+    key = ["pattern", "seq"]
+    order = F.struct("dep0", "trip_id")
+    fell = F.col("t") < F.lag("t").over(Window.partitionBy(*key, "half").orderBy("dep0", "trip_id"))
+    halves = rows.select(*key, "half", order.alias("o"), "t", F.coalesce(fell, F.lit(False)).alias("fell")).groupBy(*key, "half")
+    halves = halves.agg(F.bool_or("fell").alias("fell"), F.min_by("t", "o").alias("first"), F.max_by("t", "o").alias("last"), F.count("*").alias("n"))
+    between = F.coalesce(F.col("first") < F.lag("last").over(Window.partitionBy(*key).orderBy("half")), F.lit(False))
+    return halves.withColumn("fell", F.col("fell") | between).groupBy(*key).agg((~F.bool_or("fell")).alias("monotonic"), F.sum("n").alias("n_trips"))
 
 
 def routes(st: DataFrame) -> DataFrame:

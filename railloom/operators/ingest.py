@@ -5,6 +5,8 @@ Raw rows: stop_id, trip_id, arrival_time, stop_sequence and route_type as text,
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,22 +26,38 @@ def good_rows(raw: DataFrame) -> DataFrame:
     return parsed.select("stop_id", "trip_id", "arrival", "seq", "kind", "lat", "lon")
 
 
-def dense_keys(rows: DataFrame, column: str, workspace: Workspace, name: str) -> DataFrame:
-    """(column, idx): the distinct values numbered from 0 in order.
+def ranked(values: DataFrame, column: str, workspace: Workspace, name: str) -> DataFrame:
+    """``values`` with idx, the place of each row in the order of ``column`` from 0.
 
-    Values are dealt out by range and numbered within their part; only the size of each part comes to
+    Rows are dealt out by range and numbered within their part; only the size of each part comes to
     the driver, so no task sees them all.
     """
-    part = F.spark_partition_id().alias("part")
-    dealt = workspace.table(rows.select(column).distinct().repartitionByRange(column).select(column, part), name)
-    sizes = sorted(dealt.groupBy("part").count().collect())
+    dealt = workspace.table(values.repartitionByRange(column).withColumn("part", F.spark_partition_id()), name)
+    sizes = sorted(tuple(r) for r in dealt.groupBy("part").count().collect())
     firsts, at = [], 0
     for p, n in sizes:
         firsts.append((p, at))
         at += n
-    firsts = rows.sparkSession.createDataFrame(firsts, "part int, first long")
+    firsts = values.sparkSession.createDataFrame(firsts, "part int, first long")
     nth = F.row_number().over(Window.partitionBy("part").orderBy(column))
-    return dealt.join(F.broadcast(firsts), "part").select(column, (F.col("first") + nth - 1).alias("idx"))
+    return dealt.join(F.broadcast(firsts), "part").withColumn("idx", F.col("first") + nth - 1).drop("part", "first")
+
+
+def dense_keys(rows: DataFrame, column: str, workspace: Workspace, name: str) -> DataFrame:
+    """(column, idx): the distinct values numbered from 0 in order."""
+    return ranked(rows.select(column).distinct(), column, workspace, name)
+
+
+def quantiles(values: DataFrame, column: str, shares: Sequence[float], workspace: Workspace) -> list[float | None]:
+    """Exact quantiles of a column, linear between neighbours; nulls do not count, and without values all are null."""
+    some = values.select(column).where(F.col(column).isNotNull())
+    n = some.count()
+    if not n:
+        return [None] * len(shares)
+    places = [q * (n - 1) for q in shares]
+    wanted = {int(p) for p in places} | {min(n - 1, int(p) + 1) for p in places}
+    at = {r.idx: r[column] for r in ranked(some, column, workspace, f"ranked_{column}").where(F.col("idx").isin(*wanted)).collect()}
+    return [at[int(p)] + (at[min(n - 1, int(p) + 1)] - at[int(p)]) * (p - int(p)) for p in places]
 
 
 def stop_table(good: DataFrame) -> DataFrame:

@@ -50,6 +50,18 @@ def segments(answers: DataFrame, stop_times: DataFrame, walks: DataFrame) -> Dat
     return rows.select("query_id", F.row_number().over(order).alias("pos"), "leg", "trip_id", F.coalesce(F.lag("k").over(order), F.col("begin")).alias("source"), "k", "arrival")
 
 
+def static_segments(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source, node, pos, k, trip_id, seconds): every stop of a static path, the trip that is quickest to it, and the seconds until then.
+
+    ``paths``: source, node, path. ``edges``: src, dst, seconds, trip_id.
+    """
+    stops = paths.select("source", "node", F.split("path", ">").alias("t"), F.posexplode(F.split("path", ">")).alias("pos", "k")).where("pos > 0")
+    steps = stops.select("source", "node", "pos", F.element_at("t", F.col("pos")).cast("int").alias("src"), F.col("k").cast("int").alias("k"))
+    met = steps.join(edges.withColumnRenamed("dst", "k"), ["src", "k"])
+    upto = F.sum("seconds").over(Window.partitionBy("source", "node").orderBy("pos"))
+    return met.select("source", "node", "pos", "k", "trip_id", upto.alias("seconds"))
+
+
 def segment_payload(made: DataFrame, stops: DataFrame) -> DataFrame:
     """Segments with the ids and places of their stops; places that are not known are null."""
     at = stops.select("k", "stop_id", C.known(F.col("lat")).alias("lat"), C.known(F.col("lon")).alias("lon"))

@@ -92,6 +92,17 @@ def candidates(points: DataFrame, stops: DataFrame, workspace: Workspace, degree
     return near.select("point", "k", "n", (F.col("n") <= seeds).alias("seed"), (F.col("m") / C.WALK_SPEED).cast("bigint").alias("penalty"))
 
 
+def augmented(near: DataFrame, more: DataFrame, points: DataFrame, stops: DataFrame) -> DataFrame:
+    """(point, k, penalty): candidates and further stops of their points, each once, with the walk to all of them in seconds.
+
+    ``near`` and ``more``: point, k.
+    """
+    both = near.select("point", "k").unionByName(more.select("point", "k")).distinct()
+    met = both.join(points.select("point", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")), "point").join(with_coordinates(stops).select("k", "lat", "lon"), "k")
+    meters = C.haversine_m(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"))
+    return met.select("point", "k", (meters / C.WALK_SPEED).cast("bigint").alias("penalty"))
+
+
 def connection_degrees(routes: DataFrame) -> DataFrame:
     """(k, degree): in how many positions of patterns a stop stands."""
     return routes.select("pattern", "seq", "k").distinct().groupBy("k").agg(F.count("*").alias("degree"))

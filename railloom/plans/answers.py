@@ -132,6 +132,15 @@ def nearest_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.join(members, "station").select("point", "station", "n", F.explode("stops").alias("k"))
 
 
+def augmented_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of each point and the stops of the stations nearest to it."""
+    return P.augmented(destination_candidates(spark, sf_dir), nearest_stations(spark, sf_dir), points(spark, sf_dir), T.stops(spark, sf_dir))
+
+
+def static_path_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.static_segments(R.static_shortest_path(spark, sf_dir), I.ride_edges(T.stop_times(spark, sf_dir)))
+
+
 def _hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.hubs(I.station_degrees(R._station_edges(spark, sf_dir)), HUBS)
 
@@ -383,6 +392,8 @@ QUERIES = {
     "candidate_tiers": candidate_tiers,
     "tier_candidates": tier_candidates,
     "nearest_stations": nearest_stations,
+    "augmented_candidates": augmented_candidates,
+    "static_path_segments": static_path_segments,
     "stop_stations": lambda s, d: P.stop_stations(T.stops(s, d)),
     "nearest_hubs": nearest_hubs,
     "station_backbone": station_backbone,

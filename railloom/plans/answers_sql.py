@@ -146,6 +146,12 @@ SELECT * FROM near UNION ALL SELECT point, k, n, n <= 6, trunc(m / 1.4::DOUBLE):
     "candidate_tiers": "SELECT o_orderkey, CASE WHEN c = 0 OR s = 0 THEN '' WHEN c <= s THEN c::VARCHAR ELSE array_to_string(list_distinct_sorted, ',') END AS tiers FROM (SELECT o_orderkey, o_orderkey % 40 AS c, o_orderkey % 7 AS s, list_sort(list_distinct([least(c, s), least(c, s * 2), least(c, s * 4), c])) AS list_distinct_sorted FROM orders)",
     "tier_candidates": f"WITH {O._STOPS}, {_POINTS}, {_met('points', 'stops', 'met')}, r AS (SELECT point, k, {_NEAREST}::INTEGER AS n FROM met) SELECT point, tier, k, n FROM r, (SELECT unnest([2, 4, 8, 12])::BIGINT AS tier) WHERE n <= tier",
     "nearest_stations": f"WITH {O._STOPS}, {_POINTS}, {_STATIONS}, {_met('points', 'stations', 'met')}, r AS (SELECT point, k, {_NEAREST}::INTEGER AS n FROM met) SELECT point, t.station, n, s.k FROM r JOIN stations t ON t.k = r.k JOIN (SELECT station, k, row_number() OVER (PARTITION BY station ORDER BY k) AS i FROM stops) s ON s.station = t.station AND i <= 6 WHERE n <= 3",
+    "augmented_candidates": f"""WITH {O._STOPS}, {_POINTS}, {_STATIONS}, {_met('points', 'stops', 'met')}, {_met('points', 'stations', 'smet')}, {_candidates('met', 'near', 300, 6, False)},
+ends AS (SELECT point, k FROM near UNION ALL SELECT point, k FROM (SELECT *, {_NEAREST} AS n FROM met WHERE point NOT IN (SELECT point FROM near)) WHERE n <= 12),
+r AS (SELECT point, k, {_NEAREST} AS n FROM smet), more AS (SELECT point, s.k FROM r JOIN stations t ON t.k = r.k JOIN (SELECT station, k, row_number() OVER (PARTITION BY station ORDER BY k) AS i FROM stops) s ON s.station = t.station AND i <= 6 WHERE n <= 3)
+SELECT point, k, trunc(m / 1.4::DOUBLE)::BIGINT AS penalty FROM (SELECT point, k FROM ends UNION SELECT point, k FROM more) JOIN met USING (point, k)""",
+    "static_path_segments": f"""WITH {O._ST}, {O._OD}, {O._HOPS}, {O._EDGES}, {O._ROUNDS_S}, x AS (SELECT source, node, string_split(path, '>') AS t FROM {O._LAST_S}), y AS (SELECT source, node, t, unnest(range(2, len(t) + 1)) AS i FROM x)
+SELECT y.source, y.node, (i - 1)::INTEGER AS pos, e.dst AS k, e.trip_id, sum(e.seconds) OVER (PARTITION BY y.source, y.node ORDER BY i)::BIGINT AS seconds FROM y JOIN edges e ON e.src = t[i - 1]::INTEGER AND e.dst = t[i]::INTEGER""",
     "stop_stations": f"WITH {O._STOPS} SELECT k, station FROM stops",
     "nearest_hubs": f"WITH {O._ST}, {O._STOPS}, {_HUBS}, {_TO_HUB} SELECT * FROM to_hub",
     "station_backbone": f"WITH {O._ST}, {O._STOPS}, {_JOURNEYS}, {_HUBS}, {_TO_HUB}, {_BACKBONE} SELECT * FROM spine",

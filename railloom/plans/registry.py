@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from railloom.functions import columns as C
 from railloom.operators import indexes as I
+from railloom.operators import ingest as G
 from railloom.operators import journeys as J
 from railloom.operators import search as S
 from railloom.plans.oracles import ORACLES
@@ -146,13 +149,15 @@ def reliability_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stop_bbox_quantiles(spark: SparkSession, sf_dir: str, margin_m: float = 500.0) -> DataFrame:
     """The box of all stops with a margin: of their middle 99 % where there are 100 or more, else of all."""
-    at = T.stops(spark, sf_dir).where("lat IS NOT NULL AND lon IS NOT NULL")
-    cut = lambda c, q, end: F.when(F.count(c) >= 100, F.percentile(c, F.lit(q))).otherwise(end(c))
-    box = at.agg(*(cut(c, q, end).alias(f"{c}_{n}") for c in ("lat", "lon") for n, q, end in (("low", 0.005, F.min), ("high", 0.995, F.max))))
-    north = F.lit(margin_m / 111_320)
-    east = F.lit(margin_m) / (111_320 * F.greatest(F.lit(1e-6), F.cos(F.radians((F.col("lat_low") + F.col("lat_high")) / 2))))
-    made = {"lat_low": F.col("lat_low") - north, "lat_high": F.col("lat_high") + north, "lon_low": F.col("lon_low") - east, "lon_high": F.col("lon_high") + east}
-    return box.select(*(F.round(x, 9).alias(c) for c, x in made.items()))
+    at = G.with_coordinates(T.stops(spark, sf_dir))
+    shares = (0.005, 0.995) if at.count() >= 100 else (0.0, 1.0)
+    workspace = Workspace(spark, "box")
+    (south, north), (west, east) = (G.quantiles(at, c, shares, workspace) for c in ("lat", "lon"))
+    if south is None:
+        return spark.createDataFrame([], "lat_low double, lat_high double, lon_low double, lon_high double")
+    up = margin_m / 111_320
+    out = margin_m / (111_320 * max(1e-6, math.cos(math.radians((south + north) / 2))))
+    return spark.createDataFrame([tuple(round(x, 9) for x in (south - up, north + up, west - out, east + out))], "lat_low double, lat_high double, lon_low double, lon_high double")
 
 
 QUERIES = {

@@ -225,3 +225,23 @@ def test_settings():
     there = lambda p: p == "/old"
     assert [store.choose_path("V", c, "/old", there, e) for c, e in (("/c", {"V": "/v"}), ("/c", {}), (None, {}))] == ["/v", "/c", "/old"]
     assert store.choose_path("V", None, "/new", there, {}) is None
+
+
+def test_quantiles_and_ranks(spark):
+    values = [float((i * 37) % 101) for i in range(101)] + [5.0] * 30
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "x double").repartition(5)
+    import numpy as np
+
+    want = np.quantile(values, [0, 0.005, 0.3, 0.995, 1]).tolist()
+    assert ingest.quantiles(df, "x", [0, 0.005, 0.3, 0.995, 1], Workspace(spark, "t")) == pytest.approx(want)
+    assert ingest.quantiles(df.where("x IS NULL"), "x", [0.5], Workspace(spark, "t")) == [None]
+
+
+def test_monotonic_across_half_hours(spark):
+    def flag(*times):
+        st = spark.createDataFrame([x for i, (a, b) in enumerate(times) for x in ((f"T{i}", "A", a, 1), (f"T{i}", "B", b, 2))], "trip_id string, k string, t long, seq int")
+        return {r.seq: (r.monotonic, r.n_trips) for r in indexes.board_monotonic(st, "k").collect()}
+
+    assert flag((0, 100), (1700, 1900), (1900, 1950)) == {1: (True, 3), 2: (True, 3)}
+    assert flag((0, 100), (1700, 2500), (1900, 2400)) == {1: (True, 3), 2: (False, 3)}
+    assert flag((0, 100), (10, 90), (4000, 4100)) == {1: (True, 3), 2: (False, 3)}
