@@ -12,7 +12,7 @@ import numpy as np
 
 from railloom.llm import html_blocks
 
-HIDDEN = 24
+HIDDEN = 40
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "block_labeller.npz")
 #: Blocks, padding included, that go through the recurrence at once.
 BATCH_BLOCKS = 1 << 14

@@ -17,7 +17,7 @@ import numpy as np
 
 from railloom.llm.word_hashes import word_hashes
 
-PATH_BINS, WORD_BINS = 96, 24
+PATH_BINS, WORD_BINS = 320, 24
 MEASURES = 9
 WIDTH = PATH_BINS + WORD_BINS + MEASURES
 

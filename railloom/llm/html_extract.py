@@ -20,7 +20,7 @@ from railloom.llm.common import arrow_map, text_groups
 
 def extract(pages: DataFrame, labeller: Labeller | None = None, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """``pages`` with ``out_col`` in place of the HTML."""
-    shared = pages.sparkSession.sparkContext.broadcast(labeller or Labeller())  # about 100 KB of weights
+    shared = pages.sparkSession.sparkContext.broadcast(labeller or Labeller())  # about 450 KB of weights
     keep = [c for c in pages.columns if c not in (html_col, out_col)]
     schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep), f"`{out_col}` string"])
 

@@ -12,7 +12,7 @@ import numpy as np
 
 from railloom.llm import block_labeller, html_blocks
 
-PAGES, EPOCHS, BATCH = 12000, 20, 48
+PAGES, EPOCHS, BATCH = 40000, 20, 48
 
 
 class _Page:
