@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from railloom.llm import bpe, line_dedup, mixing, order_minhash, quality
 from railloom.llm.registry import vocabulary
-from railloom.workspace import Workspace, importable
+from railloom.workspace import Workspace, close_opened, importable, opened
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,9 +77,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     workspace = Workspace(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
+        before = opened()
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = workspace.table(docs, f"after_{i}")
+            close_opened(before)  # what the stage has written on its way
             if i:
                 workspace.drop(f"after_{i - 1}")
     return docs

@@ -31,6 +31,21 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Workspaces of this driver that are not closed.
+_opened: list[Workspace] = []
+
+
+def opened() -> int:
+    """How many workspaces are open; ``close_opened`` takes the number to go back to."""
+    return len(_opened)
+
+
+def close_opened(since: int) -> None:
+    """Delete the tables of all workspaces opened since; for callers that have written what was made of them."""
+    for workspace in _opened[since:]:
+        workspace.close()
+
+
 class Workspace:
     """Tables of one query run: written once, read back, removed when the session ends.
 
@@ -41,6 +56,7 @@ class Workspace:
         self.spark = importable(spark)
         self.root = f"{shared_dir(spark)}/railloom/{label}-{uuid.uuid4().hex}"
         self._path(self.root).getFileSystem(self._conf()).deleteOnExit(self._path(self.root))
+        _opened.append(self)
 
     def _conf(self):
         return self.spark.sparkContext._jsc.hadoopConfiguration()
@@ -62,3 +78,5 @@ class Workspace:
     def close(self) -> None:
         """Delete all tables of this run, for callers that have written its result elsewhere."""
         self._path(self.root).getFileSystem(self._conf()).delete(self._path(self.root), True)
+        if self in _opened:
+            _opened.remove(self)
