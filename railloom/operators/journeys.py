@@ -202,6 +202,12 @@ class Attempt:
 ATTEMPTS = (Attempt("seeds", 2, 6), Attempt("destinations", 2, 12), Attempt("origins", 12, 12), Attempt("transfers", 12, 12, 6), Attempt("scan", 12, 12, 6, 18))
 
 
+#: What follows for journeys that are long: candidates with the stops of the nearest stations after them, then more
+#: transfers; and at last the 36 nearest stops of either end. ``places.appended`` ranks what these add.
+LONG_ATTEMPTS = (Attempt("hubs", 30, 30), Attempt("hub_transfers", 30, 30, 7))
+LAST_ATTEMPT = Attempt("nearest", 36, 36, 7)
+
+
 def resolve(asked: DataFrame, starts: DataFrame, ends: DataFrame, search: Callable[[DataFrame, Attempt], DataFrame], static: DataFrame, workspace: Workspace, attempts: Sequence[Attempt] = ATTEMPTS) -> DataFrame:
     """(query_id, resolver, attempt, fallback_used, from_k, to_k, transfers, arr, runs, reason).
 

@@ -16,6 +16,8 @@ from railloom.workspace import Workspace
 
 RADIUS_M, MOST, ORIGIN_SEEDS, DESTINATION_SEEDS, TIERS = 1000.0, 12, 2, 6, 4
 DEGREE_M = 111_320
+#: From this distance on, stops of the nearest stations are tried beside the nearest stops.
+LONG_M = 35_000.0
 #: A degree of longitude is at least this share of one of latitude where cells are laid; beyond it cells are widened.
 _POLAR = 0.01
 
@@ -103,6 +105,21 @@ def augmented(near: DataFrame, more: DataFrame, points: DataFrame, stops: DataFr
     return met.select("point", "k", (meters / C.WALK_SPEED).cast("bigint").alias("penalty"))
 
 
+def appended(near: DataFrame, more: DataFrame) -> DataFrame:
+    """(point, k, n, seed, penalty): candidates, and further stops (point, k, penalty) that are none yet, ranked after the last one by their walk."""
+    counts = near.groupBy("point").agg(F.max("n").alias("last"))
+    order = Window.partitionBy("point").orderBy("penalty", "k")
+    new = more.select("point", "k", "penalty").distinct().join(near, ["point", "k"], "left_anti").join(counts, "point", "left")
+    n = (F.coalesce("last", F.lit(0)) + F.row_number().over(order)).cast("int")
+    return near.unionByName(new.select("point", "k", n.alias("n"), F.lit(False).alias("seed"), "penalty"))
+
+
+def far_apart(a: DataFrame, b: DataFrame, least_m: float = LONG_M) -> DataFrame:
+    """(point): the points whose other end is at least ``least_m`` away. ``a`` and ``b``: point, lat, lon."""
+    other = b.select("point", F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
+    return a.join(other, "point").where(C.haversine_m(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b")) >= least_m).select("point")
+
+
 def connection_degrees(routes: DataFrame) -> DataFrame:
     """(k, degree): in how many positions of patterns a stop stands."""
     return routes.select("pattern", "seq", "k").distinct().groupBy("k").agg(F.count("*").alias("degree"))

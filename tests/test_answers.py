@@ -245,3 +245,27 @@ def test_monotonic_across_half_hours(spark):
     assert flag((0, 100), (1700, 1900), (1900, 1950)) == {1: (True, 3), 2: (True, 3)}
     assert flag((0, 100), (1700, 2500), (1900, 2400)) == {1: (True, 3), 2: (False, 3)}
     assert flag((0, 100), (10, 90), (4000, 4100)) == {1: (True, 3), 2: (False, 3)}
+
+
+def test_further_stops_rank_after_the_candidates(spark):
+    near = spark.createDataFrame([(1, 4, 1, True, 0), (1, 5, 2, False, 30)], "point long, k int, n int, seed boolean, penalty long")
+    more = spark.createDataFrame([(1, 9, 80), (1, 5, 30), (1, 8, 60), (1, 9, 80), (2, 7, 5)], "point long, k int, penalty long")
+    got = sorted((r.point, r.n, r.k, r.seed) for r in places.appended(near, more).collect())
+    assert got == [(1, 1, 4, True), (1, 2, 5, False), (1, 3, 8, False), (1, 4, 9, False), (2, 1, 7, False)]
+    here = spark.createDataFrame([(1, 46.5, 6.6), (2, 46.5, 6.6)], "point long, lat double, lon double")
+    there = spark.createDataFrame([(1, 46.6, 6.6), (2, 46.9, 6.6)], "point long, lat double, lon double")
+    assert [r.point for r in places.far_apart(here, there).collect()] == [2]
+
+
+def test_a_long_journey_finds_its_station(spark):
+    st = line(spark, 4)
+    find = searcher(spark, st)
+    asked = spark.createDataFrame([(1, 900)], "query_id long, departure long")
+    one_stop = lambda k: spark.createDataFrame([(1, k, 1, True, 0)], "point long, k int, n int, seed boolean, penalty long")
+    more = spark.createDataFrame([(1, 0, 200)], "point long, k int, penalty long")
+    starts = places.appended(one_stop(77), more).withColumnRenamed("point", "query_id")
+    ends = one_stop(3).withColumnRenamed("point", "query_id")
+    nothing = spark.createDataFrame([], "source int, node int, seconds long")
+    steps = (journeys.Attempt("seeds", 1, 1), *journeys.LONG_ATTEMPTS, journeys.LAST_ATTEMPT)
+    got = journeys.resolve(asked, starts, ends, lambda s, a: find(s, a.transfers, a.scan), nothing, Workspace(spark, "t"), steps).first()
+    assert (got.attempt, got.from_k, got.transfers, got.runs) == ("hubs", 0, 2, 2)
