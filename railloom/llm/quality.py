@@ -52,7 +52,7 @@ MIN_TRUSTED = 20
 #: Steps of the histogram of nats per character that quantiles are read from.
 STEPS = 4096
 #: Characters counted together, and looked up together.
-COUNT_CHARS, SCORE_CHARS = 1 << 22, 1 << 17
+COUNT_CHARS, SCORE_CHARS = 1 << 22, 1 << 19
 #: Weights of a shard, about 10 bytes each on the way, packed, and 22 to 43 in the lookup table that a worker makes of them.
 SHARD_ENTRIES = 1 << 22
 #: Languages up to which a row for each is broadcast; more are joined by merging.
@@ -243,24 +243,28 @@ class Shard:
     def sums(self, m: int, texts: list[str]) -> np.ndarray:
         """What this shard gives to the log probability of each text, but for the uniform part."""
         found, lengths = codes(texts, lead=1)
-        score = np.zeros(len(found))
         first = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]).astype(np.int64)
-        last = first + lengths
-        left = np.arange(len(found))
-        is_first, is_last = np.zeros(len(found), bool), np.zeros(len(found), bool)
-        is_first[first], is_last[last] = True, True
+        # each distinct code is looked up once
+        order = np.argsort(found)
+        ranked = found[order]
+        fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        distinct = ranked[fresh]
+        which = np.empty(len(found), np.int64)
+        which[order] = np.cumsum(fresh) - 1
+        corr, lgam = np.zeros(len(distinct)), np.zeros(len(distinct))
+        left = np.arange(len(distinct))
         for n in range(1, ORDER + 1):
-            known, values = self.find(m, (found[left] & ((1 << BITS * n) - 1)) | (n << TAG))
-            lgam = values[:, 1].astype(np.float64)
-            if n < ORDER:  # what stands last is nothing's context
-                lgam[is_last[left]] = 0
-            corr = values[:, 0].astype(np.float64)
-            corr[is_first[left]] = 0
-            score[left] += corr + lgam
+            known, values = self.find(m, (distinct[left] & ((1 << BITS * n) - 1)) | (n << TAG))
+            corr[left] += values[:, 0]
+            if n < ORDER:
+                lgam[left] += values[:, 1]
             if self.whole:  # what is unknown is part of nothing longer that is known
                 left = left[known]
+        score, after = corr[which], lgam[which]
+        score[first] = 0  # before a text there is no character
+        after[first + lengths] = 0  # what stands last is nothing's context
         _, empty = self.find(m, np.array([0], np.int64))
-        return np.add.reduceat(score, first) + lengths * float(empty[0, 1])
+        return np.add.reduceat(score + after, first) + lengths * float(empty[0, 1])
 
 
 def _shards(weights: DataFrame) -> Iterator[Shard]:
