@@ -49,10 +49,10 @@ def board_monotonic(st: DataFrame, stop: str) -> DataFrame:
 
 
 def routes(st: DataFrame) -> DataFrame:
-    """Stop times with what boarding needs: pattern, and whether times never fall at the pattern's position."""
+    """Stop times with what boarding needs: a hash of the pattern, and whether times never fall at the pattern's position."""
     flags = board_monotonic(st, "k").select("pattern", "seq", "monotonic")
     rows = st.join(patterns(st, "k").select("trip_id", "pattern"), "trip_id")
-    return rows.join(flags, ["pattern", "seq"]).select("trip_id", "pattern", "seq", "k", "t", "monotonic")
+    return rows.join(flags, ["pattern", "seq"]).select("trip_id", F.xxhash64("pattern").alias("pattern"), "seq", "k", "t", "monotonic")
 
 
 def _pair(stops: DataFrame) -> tuple[DataFrame, DataFrame]:
