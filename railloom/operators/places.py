@@ -16,6 +16,8 @@ from railloom.workspace import Workspace
 
 RADIUS_M, MOST, ORIGIN_SEEDS, DESTINATION_SEEDS, TIERS = 1000.0, 12, 2, 6, 4
 DEGREE_M = 111_320
+#: Cells of a radius along each axis, by which stops are summed up.
+CELLS = 8
 #: From this distance on, stops of the nearest stations are tried beside the nearest stops.
 LONG_M = 35_000.0
 #: A degree of longitude is at least this share of one of latitude where cells are laid; beyond it cells are widened.
@@ -46,28 +48,63 @@ def within(points: DataFrame, stops: DataFrame, radius: float, lat_bound: float
     return found.select("point", "k", meters.alias("m")).where(F.col("m") <= radius)
 
 
+def _far(lat: Column, lon: Column, low: str, high: str) -> Column:
+    """Meters from a place to the farthest corner of a box, with room for rounding and the globe's bend."""
+    corner = lambda a, o: C.haversine_m(lat, lon, F.col(a), F.col(o))
+    return F.greatest(*(corner(f"{a}_lat", f"{o}_lon") for a in (low, high) for o in (low, high))) * 1.01 + 1
+
+
+def _hopeful(points: DataFrame, stops: DataFrame, most: int, radius: float, globe: bool) -> DataFrame:
+    """(point, k, m): stops that may be among the ``most`` nearest within ``radius`` of each point.
+
+    Stops are summed up by cells of an eighth of the radius, as number and box. A point takes the cells
+    in the order of their farthest corner until they hold enough; no cell whose nearest possible place is
+    beyond that corner can hold a nearer stop, and only stops of the other cells are looked at.
+    """
+    cell = radius / DEGREE_M / CELLS
+    placed = _cells(with_coordinates(stops).select("k", "lat", "lon"), "lat", "lon", cell).withColumnRenamed("r", "cr").withColumnRenamed("c", "cc")
+    box = [f(c).alias(f"{name}_{c}") for name, f in (("low", F.min), ("high", F.max)) for c in ("lat", "lon")]
+    cells = placed.groupBy("cr", "cc").agg(F.count("*").alias("n"), *box)
+    own = points.select("point", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    if globe:  # what is left has too few stops within a large part of the globe
+        met = cells.join(own, F.lit(True))
+    else:
+        wide = max(1, int(1 / max(_POLAR, math.cos(math.radians(60.0)))) + 1)
+        met = _around(_cells(own, "p_lat", "p_lon", cell * CELLS), 1, wide).drop("ring").join(
+            cells.withColumns({"r": F.floor(F.col("cr") / CELLS), "c": F.floor(F.col("cc") / CELLS)}), ["r", "c"]
+        )
+    lat, lon = F.col("p_lat"), F.col("p_lon")
+    within_box = lambda x, c: F.greatest(F.col(f"low_{c}"), F.least(F.col(f"high_{c}"), x))
+    # north and south alone are a lower bound at any longitude; both together only where cells are small
+    apart = F.abs(lat - within_box(lat, "lat")) * (math.pi / 180 * C.EARTH_M)
+    near = apart if globe else F.greatest(apart, C.haversine_m(lat, lon, within_box(lat, "lat"), within_box(lon, "lon")) * 0.8)
+    met = met.withColumns({"near": near - 1, "far": _far(lat, lon, "low", "high")})
+    upto = F.sum("n").over(Window.partitionBy("point").orderBy("far", "cr", "cc"))
+    bound = met.withColumn("upto", upto).where(F.col("upto") >= most).groupBy("point").agg(F.min("far").alias("bound"))
+    kept = met.join(bound, "point", "left").where(F.col("bound").isNull() | (F.col("near") <= F.col("bound"))).select("point", "p_lat", "p_lon", "cr", "cc")
+    return kept.join(placed, ["cr", "cc"]).select("point", "k", C.haversine_m(lat, lon, F.col("lat"), F.col("lon")).alias("m"))
+
+
 def nearest(points: DataFrame, stops: DataFrame, most: int, workspace: Workspace, radius: float = RADIUS_M) -> DataFrame:
     """(point, k, m, n): the ``most`` nearest stops of each point, however far, ties to the smaller k.
 
     Points that have not enough stops within a radius look again within four times it, up to the whole
-    globe, so that only they meet more stops.
+    globe, so that only they go farther.
     """
     done, left, step = None, points, 0
     number = min(most, with_coordinates(stops).count())
     nearest_first = Window.partitionBy("point").orderBy(F.round("m", 6), "k")
     while number:
-        if radius * 3 < DEGREE_M * 60:
-            near = within(left, stops, radius)
-        else:  # the rest of the globe: few points in the middle of nowhere
-            far = left.select("point", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-            near = with_coordinates(stops).select("k", "lat", "lon").join(far, F.lit(True)).select("point", "k", C.haversine_m(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon")).alias("m"))
+        globe = radius * 3 >= DEGREE_M * 60
+        near = _hopeful(left, stops, number, radius, globe)
+        near = near if globe else near.where(F.col("m") <= radius)
         ranked = near.withColumn("n", F.row_number().over(nearest_first)).where(F.col("n") <= number)
         ranked = workspace.table(ranked, f"nearest_{step}")
         enough = ranked.groupBy("point").count().where(F.col("count") >= number).select("point")
         now = ranked.join(enough, "point", "left_semi")
         done = now if done is None else done.unionByName(now)
         left = workspace.table(left.join(enough, "point", "left_anti"), f"left_{step}")
-        if left.isEmpty() or radius * 3 >= DEGREE_M * 60:
+        if left.isEmpty() or globe:
             break
         radius, step = radius * 4, step + 1
     return points.sparkSession.createDataFrame([], "point long, k int, m double, n int") if done is None else done
