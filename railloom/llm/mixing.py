@@ -8,7 +8,8 @@ a whole number of times, and a seeded sample of its documents once more for the
 The sample takes documents in the order of a seeded hash while they fit, passes over the one that
 does not and goes on with those that still can, and at last takes the one remaining document whose
 size is nearest to what is missing, if that comes nearer to the target. A source that is still off,
-as one of few documents may be, tries other seeded orders and keeps the best. Every choice is a comparison
+as one of few documents may be, tries its largest documents first, then other seeded orders, and keeps the
+best. Every choice is a comparison
 with a few numbers per source, so no source gathers in one task.
 
 Null texts have size 0, and so do empty ones. A null source is a source, last in order. A source
@@ -36,9 +37,9 @@ BIN_BITS, BIN_ROWS = 12, 100_000
 #: Sources up to which a row for each is broadcast; more meet their documents by a sort-merge join.
 BROADCAST_SOURCES = 10_000
 #: A source is near enough when this share of its target is missing; further rounds only refine.
-NEAR, ROUNDS = 0.002, 4
+NEAR, ROUNDS = 0.002, 6
 #: A source that misses its target by more than this share, as one of few documents may, tries other orders.
-CLOSE, TRIES = 0.01, 4
+CLOSE, TRIES = 0.01, 6
 _PLACE = "struct<__hash: bigint, __row: bigint>"
 _ROUND = f"most: bigint, from_bin: int, after: {_PLACE}, cut_bin: int, last: {_PLACE}"
 
@@ -99,7 +100,10 @@ def _mixed(
         right = spark.createDataFrame(pa.Table.from_pylist(rows, arrow_schema(state_schema))).withColumnRenamed("__source", "__s")
         right = F.broadcast(right) if len(rows) <= BROADCAST_SOURCES else right.hint("merge")
         found = sized.join(right, sized["__source"].eqNullSafe(right["__s"]), how).drop("__s")
-        order = F.xxhash64(F.col("try"), F.col("__hash"))
+        # the second try takes large documents first, and those alike in size by their hash
+        large = F.greatest(F.lit(0.0), 1 - F.log(F.col("__size") + 1.0) / math.log(2.0**40))
+        by_size = F.shiftleft((large * (1 << 30)).cast("long"), 32) + F.pmod("__hash", F.lit(1 << 32))
+        order = F.when(F.col("try") == 1, by_size).otherwise(F.xxhash64(F.col("try"), F.col("__hash")))
         return found.withColumn("bin", F.shiftrightunsigned(order, 64 - bits).cast("int")).withColumn("place", F.struct(order.alias("__hash"), F.col("__row")))
 
     best = [
