@@ -19,11 +19,16 @@ them out are never formed. Then:
    sketches. In these, documents that hang together with no leader yet are led by further ones of
    their own, more at a time in each round, which are aligned with the whole bucket but what they
    already hang together with. Rounds go on until every document of every such bucket has led or
-   hangs together with one that has; no bucket is cut off.
+   hangs together with one that has.
+4. What is still open between documents of larger buckets is settled exactly: similar documents have
+   a number of k-mers in common that follows from their lengths, so that at least one of each one's
+   rarest k-mers, all but that number, is among the other's. All pairs that meet by one of these and
+   do not hang together yet are aligned.
 
 One passage that many documents share lands them in one large bucket by chance of one sketch, hardly
-of several, so their number is not squared. What is left out: two documents that share only large
-buckets, no ``AGREE`` neighbouring sketches, and no similarity to a bucket's leader.
+of several, and its k-mers are not among the rarest of theirs, so that their number is not squared
+unless the passage is most of them. No two similar documents that share a bucket, however large, are
+left apart.
 
 Groups are the connected components. Decisions are made on ids; the columns asked for join them last,
 by a unique row number. Documents without words, null and empty texts among them, are copies of each
@@ -166,6 +171,40 @@ def _may(a: Column, b: Column, similarity: float) -> Column:
     return F.abs(a - b) <= F.floor(F.lit(1 - similarity) * F.greatest(a, b) + F.lit(1e-9))
 
 
+def in_common(words: int, k: int, similarity: float) -> int:
+    """k-mers that a document of so many words has in common with every similar one, at least."""
+    more = np.arange(math.floor(words * (1 - similarity) / similarity) + 2)
+    edits = np.floor((1 - similarity) * (words + more) + 1e-9)
+    # a word replaced or deleted ends k k-mers, one inserted one less; a longer document needs insertions
+    ended = np.where(edits >= more, k * edits - more, 0).max()
+    return max(0, words - k + 1) - int(ended)
+
+
+def _sure_k(k: int, words: range, similarity: float) -> int:
+    """The largest k-mers, of ``k`` words at most, of which similar documents of these lengths have one in common."""
+    can = [n for n in words if math.floor((1 - similarity) * (n + 1) / similarity + 1e-9)]
+    return next((j for j in range(k, 1, -1) if all(in_common(n, j, similarity) > 0 for n in can)), 1)
+
+
+def _grams(texts: DataFrame, similarity: float) -> DataFrame:
+    """(node, words, k, least, gram): each document's k-mers, and how many of them it has in common with a similar one."""
+    schema = arrow_schema("node long, words long, k int, least long, gram long")
+    long_from = int(similarity * (SHORT + 1))
+    families = ((_sure_k(SHORT_K, range(1, SHORT + 1), similarity), lambda n: 0 < n <= SHORT), (_sure_k(K, range(max(1, long_from), 2048), similarity), lambda n: n >= max(1, long_from)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, told = batch.column(0).to_pylist(), list(word_hashes([t or "" for t in batch.column(1).to_pylist()]))
+            for number, (k, takes) in enumerate(families):
+                for i in (i for i, w in enumerate(told) if takes(len(w))):
+                    grams, counts = kmers([told[i]], k)
+                    n, one = int(counts[0]), len(told[i])
+                    same = lambda x: np.full(n, x)  # noqa: B023, E731
+                    yield to_batch({"node": same(nodes[i]), "words": same(one), "k": same(number), "least": same(in_common(one, k, similarity)), "gram": grams.view(np.int64)}, schema)
+
+    return texts.select("node", "text").mapInArrow(run, "node long, words long, k int, least long, gram long")
+
+
 def _buckets(keyed: DataFrame, workspace: Workspace, name: str) -> DataFrame:
     """``keyed`` (key, node, words) with n, leader and leader_words, for keys that more than one node has; the smallest node leads."""
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "words")).alias("lead")).where("n > 1")
@@ -247,7 +286,7 @@ def _components(reps: DataFrame, texts: DataFrame, workspace: Workspace, similar
         left = open_.where("reached IS NULL").select("key").distinct()
         state = workspace.table(open_.join(left, "key", "left_semi"), f"state_{round_}")
         if state.isEmpty():
-            return components
+            break
         rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
         leaders = state.where("reached IS NULL").withColumn("r", rank).where(F.col("r") <= most)
         leaders = workspace.table(leaders.select("key", F.col("node").alias("a"), F.col("words").alias("words_a"), F.col("group").alias("group_a")), f"leaders_{round_}")
@@ -257,6 +296,25 @@ def _components(reps: DataFrame, texts: DataFrame, workspace: Workspace, similar
         state = state.join(now, ["key", "node"], "left").select("key", "node", "words", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led"))
         most *= GROWTH
 
+    # 4. What is still open between documents of large buckets: those that one of their rarest k-mers joins.
+    crowded = workspace.table(crowded, "crowded")
+    if crowded.isEmpty():
+        return components
+    grams = workspace.table(_grams(texts.join(crowded, "node", "left_semi"), similarity), "grams")
+    common = grams.groupBy("k", "gram").agg(F.count("*").alias("n")).where("n > 1")
+    own = Window.partitionBy("node", "k")
+    # k-mers of one document alone are the rarest, and join nothing
+    ranked = grams.join(common, ["k", "gram"]).withColumns({"held": F.count("*").over(own), "r": F.row_number().over(own.orderBy("n", "gram"))})
+    rare = workspace.table(grouped(ranked.where(F.col("r") <= F.col("held") + 1 - F.col("least")).select("k", "gram", "node", "words")), "rare")
+    most_of = F.max(F.struct("size", "group")).alias("most")
+    open_ = rare.groupBy("k", "gram", "group").agg(F.count("*").alias("size")).groupBy("k", "gram").agg(most_of, F.count("*").alias("groups"))
+    rare = rare.join(open_.where("groups > 1").select("k", "gram", F.col("most.group").alias("largest")), ["k", "gram"])
+    # of two groups at least one is not the largest of those that meet
+    lesser = rare.where(F.col("group") != F.col("largest")).select("k", "gram", F.col("node").alias("a"), F.col("words").alias("words_a"), F.col("group").alias("group_a"))
+    met = lesser.join(rare.select("k", "gram", F.col("node").alias("b"), "words", "group"), ["k", "gram"])
+    aligned(met.where((F.col("group") != F.col("group_a")) & _may(F.col("words"), F.col("words_a"), similarity)).select("a", "b"), "rest")
+    return components
+
 
 def _decided(docs: DataFrame, workspace: Workspace, similarity: float, id_col: str, text_col: str, keep: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """The stored rows (__node, __id, and the columns of ``keep`` as __k0, __k1 ...) and (__node, __class, __kept)."""

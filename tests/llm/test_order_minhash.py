@@ -188,6 +188,35 @@ def test_every_shared_bucket_is_worked_off(spark):
     assert {r.class_id for r in got} == {0}
 
 
+def test_similar_texts_that_share_only_large_buckets_meet(spark, monkeypatch):
+    # all that a pair has in common, many other texts have too, which are similar to none
+    monkeypatch.setattr(order_minhash, "SMALL", 8)
+    rows, want = [], {}
+    for g in range(4):
+        passage = [f"p{g}_{i}" for i in range(80)]
+        own = [[*passage, *(f"u{g}_{i}_{j}" for j in range(26))] for i in range(60)]
+        own[30:30] = [[*passage, *(f"{c}{g}_{j}" for j in range(20))] for c in "ab"]
+        for w in own:
+            want[len(rows)] = len(rows) - 1 if w[-1] == f"b{g}_19" else len(rows)
+            rows.append((len(rows), " ".join(w)))
+    got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Workspace(spark, "t4")).collect()
+    assert {r.doc_id: r.class_id for r in got} == want
+
+
+@pytest.mark.parametrize("similarity", [0.6, 0.8, 0.9])
+def test_k_mers_in_common_are_a_lower_bound(similarity):
+    rng = random.Random(3)
+    for k in (1, 2, 3):
+        for _ in range(400):
+            a = [rng.choice("abcdefghij") for _ in range(rng.randint(1, 60))]
+            b = alter(a, rng.randint(0, int(0.5 * len(a)) + 1), rng)
+            if not b or edits(a, b) > (1 - similarity) * max(len(a), len(b)) + 1e-9:
+                continue
+            (x, y), _ = zip(*(order_minhash.kmers([next(iter(word_hashes([" ".join(w)])))], k) for w in (a, b)))
+            both = len(set(x.tolist()) & set(y.tolist()))
+            assert both >= max(order_minhash.in_common(len(w), k, similarity) for w in (a, b))
+
+
 def test_columns_of_any_name_pass_by(spark):
     names = ["kept", "class_id", "group", "rep", "__node", "__id", "__text", "n", "a.b"]
     docs = spark.createDataFrame([(i, "one two three four five six" if i % 2 else None, *range(i, i + len(names))) for i in range(6)], ["doc_id", "text", *names])
