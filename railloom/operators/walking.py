@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from railloom.functions import columns as C
 from railloom.operators import indexes as I
-from railloom.operators.places import _around, _cells, nearest
+from railloom.operators.places import _around, _cells, nearest_one
 from railloom.operators.search import shortest_paths
 from railloom.workspace import Workspace
 
@@ -24,13 +24,20 @@ def walk_edges(ways: DataFrame) -> DataFrame:
 
 def snap(stops: DataFrame, nodes: DataFrame, workspace: Workspace, cell: float = SNAP_CELL, rings: int = RINGS) -> DataFrame:
     """(k, node): the nearest node in the first ring of cells around a stop that has any; beyond ``rings`` the nearest of all."""
-    own = _around(_cells(stops.where("lat IS NOT NULL AND lon IS NOT NULL").select("k", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")), "p_lat", "p_lon", cell), rings, rings)
-    met = own.join(_cells(nodes.select("node", "lat", "lon"), "lat", "lon", cell), ["r", "c"])
+    located = stops.where("lat IS NOT NULL AND lon IS NOT NULL")
+    own = _cells(located.select("k", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")), "p_lat", "p_lon", cell).withColumnsRenamed({"r": "own_r", "c": "own_c"})
+    placed = _cells(nodes.select("node", "lat", "lon"), "lat", "lon", cell)
+    # cells look for the first ring that has nodes, and stops meet those of that ring only
+    around = _around(own.select("own_r", "own_c", F.col("own_r").alias("r"), F.col("own_c").alias("c")).distinct(), rings, rings)
+    around = around.join(placed.select("r", "c").distinct(), ["r", "c"])
+    first = F.min("ring").over(Window.partitionBy("own_r", "own_c"))
+    around = around.withColumn("first", first).where("ring = first").select("own_r", "own_c", "r", "c")
+    met = own.join(workspace.table(around, "around"), ["own_r", "own_c"]).join(placed, ["r", "c"])
     meters = C.haversine_m(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"))
-    best = met.groupBy("k").agg(F.min(F.struct("ring", F.round(meters, 6).alias("m"), "node")).alias("best")).select("k", "best.node")
+    best = met.groupBy("k").agg(F.min(F.struct(F.round(meters, 6).alias("m"), "node")).alias("best")).select("k", "best.node")
     best = workspace.table(best, "snapped")
-    far = stops.where("lat IS NOT NULL AND lon IS NOT NULL").join(best, "k", "left_anti").select(F.col("k").alias("point"), "lat", "lon")
-    rest = nearest(far, nodes.withColumnRenamed("node", "k"), 1, workspace, radius=cell * rings * 111_320)
+    far = located.join(best, "k", "left_anti").select(F.col("k").alias("point"), "lat", "lon")
+    rest = nearest_one(far, nodes.withColumnRenamed("node", "k"), workspace)
     return best.unionByName(rest.select(F.col("point").alias("k"), F.col("k").alias("node")))
 
 

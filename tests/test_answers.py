@@ -1,7 +1,10 @@
 """Operators over places, walks and journeys on small tables whose outcomes are known."""
 
 import difflib
+import math
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +81,26 @@ def test_snapping_rings_and_beyond(spark):
     assert got[0] == 7 and got[1] == 9 and set(got) == {0, 1, 2}  # the ring of the cell counts before the distance
 
 
+def test_far_stops_snap_to_the_nearest_of_all_in_time(spark):
+    # a long row of stops far from a block of nodes, and stops all over the globe
+    rng = random.Random(5)
+    stops = [(i, 46.5 + i % 10 * 0.0009, 7.0 + i // 10 * 0.0009) for i in range(8000)]
+    stops += [(10_000 + i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(60)]
+    nodes = [(i, 46.4995 + i % 45 * 0.0009, 6.5995 + i // 45 * 0.0009) for i in range(9000)] + [(20_000, -85.0, -179.9), (20_001, 89.0, 100.0), (20_002, 0.0, 179.9)]
+    began = time.perf_counter()
+    made = walking.snap(spark.createDataFrame(stops, "k int, lat double, lon double"), spark.createDataFrame(nodes, "node long, lat double, lon double"), Workspace(spark, "t"))
+    got = dict(map(tuple, made.collect()))
+    assert time.perf_counter() - began < 60 and len(got) == len(stops)
+
+    def meters(a, b):
+        half = lambda x, y: math.sin(math.radians(y - x) / 2) ** 2
+        return 2 * 6_371_000.0 * math.asin(math.sqrt(half(a[1], b[1]) + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * half(a[2], b[2])))
+
+    by_id = {n[0]: n for n in nodes}
+    for s in stops[5000:8000:250] + stops[8000:]:
+        assert meters(s, by_id[got[s[0]]]) <= min(meters(s, n) for n in nodes) + 1e-5
+
+
 def test_walks_over_a_graph(spark):
     ways = spark.createDataFrame([(1, 2, 70.0), (2, 1, 140.0), (2, 3, 0.5), (3, 3, 5.0), (3, 4, 1400.0)], "a long, b long, meters double")
     edges = walking.walk_edges(ways)
