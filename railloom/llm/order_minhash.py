@@ -18,15 +18,16 @@ them out are never formed. Then:
 3. Documents of larger buckets meet again in buckets of those that share ``AGREE`` neighbouring
    sketches. In these, documents that hang together with no leader yet are led by further ones of
    their own, more at a time in each round, which are aligned with the whole bucket but what they
-   already hang together with. Rounds go on until every document of every such bucket has led or
-   hangs together with one that has.
-4. What is still open between documents of larger buckets is settled exactly: similar documents have
-   a number of k-mers in common that follows from their lengths, so that at least one of each one's
-   rarest k-mers, all but that number, is among the other's. All pairs that meet by one of these and
-   do not hang together yet are aligned.
+   already hang together with. ``ROUNDS`` rounds join most of what belongs together and leave the
+   next step less to do.
+4. What is still open between documents of larger buckets is settled exactly. Similar documents have
+   all but a fifth of their words in common, so that one of each one's rarest words, a fifth and one
+   more, is among the other's. Documents that meet by the first word they have in common, with enough
+   words left behind it, and do not hang together yet are aligned. A bucket of a word in which too
+   many meet is split by the next word in common, which the same count bounds.
 
 One passage that many documents share lands them in one large bucket by chance of one sketch, hardly
-of several, and its k-mers are not among the rarest of theirs, so that their number is not squared
+of several, and its words are not among the rarest of theirs, so that their number is not squared
 unless the passage is most of them. No two similar documents that share a bucket, however large, are
 left apart.
 
@@ -41,7 +42,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from railloom.llm.alignment import similar
-from railloom.llm.common import arrow_schema, join_with_hot, mix64, to_batch
+from railloom.llm.common import arrow_schema, join_with_hot, mix64, text_groups, to_batch
 from railloom.llm.graph import connected_components
 from railloom.llm.word_hashes import word_hashes
 from railloom.workspace import Workspace
@@ -66,8 +67,15 @@ SMALL = 64
 AGREE = 6
 #: k-mers put under all orders together; bits that hold a k-mer's place, in longer documents more.
 GROUP_WORDS, PLACE_BITS = 1 << 16, 24
+#: Buckets of common words are split by a further one where more than so many documents are outside
+#: their largest group and so many pairs to a row that the split makes are saved; words in a key at most.
+LESSER, WORTH, LEVELS = 64, 4, 3
+#: Common words before the key's that are remembered, so that a pair comes up once.
+SKIPPED = 32
 #: Parts that the pairs of one leader are dealt over.
 PARTS = 64
+#: Rounds of further leaders, which only spare work: what they leave open is settled after them.
+ROUNDS = 1
 #: Further leaders of a bucket grow by this factor from round to round.
 GROWTH = 4
 #: Bytes of text aligned at once.
@@ -180,29 +188,60 @@ def in_common(words: int, k: int, similarity: float) -> int:
     return max(0, words - k + 1) - int(ended)
 
 
-def _sure_k(k: int, words: range, similarity: float) -> int:
-    """The largest k-mers, of ``k`` words at most, of which similar documents of these lengths have one in common."""
-    can = [n for n in words if math.floor((1 - similarity) * (n + 1) / similarity + 1e-9)]
-    return next((j for j in range(k, 1, -1) if all(in_common(n, j, similarity) > 0 for n in can)), 1)
-
-
-def _grams(texts: DataFrame, similarity: float) -> DataFrame:
-    """(node, words, k, least, gram): each document's k-mers, and how many of them it has in common with a similar one."""
-    schema = arrow_schema("node long, words long, k int, least long, gram long")
-    long_from = int(similarity * (SHORT + 1))
-    families = ((_sure_k(SHORT_K, range(1, SHORT + 1), similarity), lambda n: 0 < n <= SHORT), (_sure_k(K, range(max(1, long_from), 2048), similarity), lambda n: n >= max(1, long_from)))
+def _ranked(texts: DataFrame, workspace: Workspace, similarity: float) -> DataFrame:
+    """(node, words, least, list): each document's occurrence-labelled words but those that no other has, the rarest
+    first, and how many it has in common with every similar one."""
+    kind = "node long, words long, least long, word long"
+    schema = arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, told = batch.column(0).to_pylist(), list(word_hashes([t or "" for t in batch.column(1).to_pylist()]))
-            for number, (k, takes) in enumerate(families):
-                for i in (i for i, w in enumerate(told) if takes(len(w))):
-                    grams, counts = kmers([told[i]], k)
-                    n, one = int(counts[0]), len(told[i])
-                    same = lambda x: np.full(n, x)  # noqa: B023, E731
-                    yield to_batch({"node": same(nodes[i]), "words": same(one), "k": same(number), "least": same(in_common(one, k, similarity)), "gram": grams.view(np.int64)}, schema)
-
-    return texts.select("node", "text").mapInArrow(run, "node long, words long, k int, least long, gram long")
+            nodes, told = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for start, end in text_groups([t or "" for t in told]):
+                made, counts = kmers(list(word_hashes([t or "" for t in told[start:end]])), 1)
+                least = [in_common(n, 1, similarity) for n in counts.tolist()]
+                yield to_batch({"node": np.repeat(nodes[start:end], counts), "words": np.repeat(counts, counts), "least": np.repeat(least, counts), "word": made.view(np.int64)}, schema)
+
+    words = workspace.table(texts.select("node", "text").mapInArrow(run, kind), "words")
+    common = words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = words.join(common.hint("merge"), "word").groupBy("node", "words", "least").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("list"))
+    return workspace.table(ranked.select("node", "words", "least", F.col("list.word").alias("list")), "ranked")
+
+
+def _open_pairs(texts: DataFrame, grouped: Callable[[DataFrame], DataFrame], workspace: Workspace, similarity: float) -> DataFrame:
+    """Pairs (a, b) that may be similar and do not hang together, none that is similar left out; ``grouped`` adds ``group``."""
+    ranked = _ranked(texts, workspace, similarity)
+    allowed = lambda words: F.floor(F.lit(1 - similarity) * words + F.lit(1e-9))
+    held = F.size("list").cast("long")
+    # all but the last ``least`` of the words that it holds can be without a partner: the next one in common is among ``room``
+    room = F.least(F.col("held") - F.col("least") - F.col("at") + F.col("told") + 1, F.col("held") - F.col("at")).alias("room")
+    state = ranked.select("node", "words", held.alias("held"), "least", "list", F.lit(0).alias("told"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("key"), F.array().cast("array<long>").alias("skipped"))
+    own, found = ["node", "words", "held", "least"], None
+    for level in range(1, LEVELS + 1):
+        following = F.posexplode(F.slice("list", F.col("at").cast("int") + 1, F.col("room").cast("int"))).alias("on", "word")
+        met = state.select("*", room).where("room > 0").select("*", following)
+        before = F.concat("skipped", F.slice("list", F.greatest(F.lit(0), F.col("on") - SKIPPED) + F.col("at").cast("int") + 1, F.least(F.col("on"), F.lit(SKIPPED))))
+        met = met.select(*own, F.lit(level).alias("told"), (F.col("at") + F.col("on") + 1).alias("at"), F.xxhash64("key", "word").alias("key"), F.slice(F.reverse(before), 1, SKIPPED).alias("skipped"))
+        met = grouped(met).select("*", room)
+        sizes = met.groupBy("key", "group").agg(F.count("*").alias("size"), F.sum("room").alias("room"))
+        sizes = sizes.groupBy("key").agg(F.sum("size").alias("size"), F.sum("room").alias("rooms"), F.max(F.struct("size", "group")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
+        lesser = F.col("size") - F.col("most.size")
+        split = (lesser > LESSER) & (lesser * F.col("size") > F.col("rooms") * WORTH) & F.lit(level < LEVELS)
+        met = workspace.table(met.join(sizes.select("key", F.col("most.group").alias("largest"), split.alias("split")), "key"), f"open_{level}")
+        # of two groups at least one is not the largest; where a bucket is split, those ask that may have no further word in common
+        whole = F.col("least") <= F.col("told")
+        side = met.select("key", "node", "words", (F.col("held") - F.col("at")).alias("left"), "group", "skipped", F.when(F.col("split"), whole).otherwise(F.col("group") != F.col("largest")).alias("asks"))
+        asking = side.where("asks").select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "words", "left", "group", "skipped")))
+        longer = F.greatest("words", "words_a")
+        # a pair meets by the first words that it has in common, and enough must be left behind them
+        once = (F.col("group") != F.col("group_a")) & (~F.col("asks") | (F.col("node_a") < F.col("node"))) & ~F.arrays_overlap("skipped", "skipped_a")
+        pairs = asking.join(side, "key").where(once & (F.least("left", "left_a") + level >= longer - allowed(longer)))
+        pairs = workspace.table(pairs.select(F.col("node_a").alias("a"), F.col("node").alias("b")), f"open_pairs_{level}")
+        found = pairs if found is None else found.unionByName(pairs)
+        if not met.agg(F.max("split")).first()[0]:
+            break
+        state = met.where(F.col("split") & ~whole).select(*own, "told", "at", "key", F.reverse("skipped").alias("skipped")).join(ranked.select("node", "list").hint("merge"), "node")
+    return found
 
 
 def _buckets(keyed: DataFrame, workspace: Workspace, name: str) -> DataFrame:
@@ -277,7 +316,7 @@ def _components(reps: DataFrame, texts: DataFrame, workspace: Workspace, similar
     again = _buckets(reps.join(crowded, "node", "left_semi").select("node", "words", F.explode(agree).alias("key")), workspace, "agreeing")
     state = again.select("key", "node", "words", F.lit(False).alias("led"))
     round_, most = 1, 1
-    while True:
+    while round_ <= ROUNDS:
         round_ += 1
         marked = grouped(state)
         led = marked.where("led").select("key", "group").distinct().withColumn("reached", F.lit(True))
@@ -296,23 +335,11 @@ def _components(reps: DataFrame, texts: DataFrame, workspace: Workspace, similar
         state = state.join(now, ["key", "node"], "left").select("key", "node", "words", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led"))
         most *= GROWTH
 
-    # 4. What is still open between documents of large buckets: those that one of their rarest k-mers joins.
+    # 4. What is still open between documents of large buckets: those that their rarest words join.
     crowded = workspace.table(crowded, "crowded")
     if crowded.isEmpty():
         return components
-    grams = workspace.table(_grams(texts.join(crowded, "node", "left_semi"), similarity), "grams")
-    common = grams.groupBy("k", "gram").agg(F.count("*").alias("n")).where("n > 1")
-    own = Window.partitionBy("node", "k")
-    # k-mers of one document alone are the rarest, and join nothing
-    ranked = grams.join(common, ["k", "gram"]).withColumns({"held": F.count("*").over(own), "r": F.row_number().over(own.orderBy("n", "gram"))})
-    rare = workspace.table(grouped(ranked.where(F.col("r") <= F.col("held") + 1 - F.col("least")).select("k", "gram", "node", "words")), "rare")
-    most_of = F.max(F.struct("size", "group")).alias("most")
-    open_ = rare.groupBy("k", "gram", "group").agg(F.count("*").alias("size")).groupBy("k", "gram").agg(most_of, F.count("*").alias("groups"))
-    rare = rare.join(open_.where("groups > 1").select("k", "gram", F.col("most.group").alias("largest")), ["k", "gram"])
-    # of two groups at least one is not the largest of those that meet
-    lesser = rare.where(F.col("group") != F.col("largest")).select("k", "gram", F.col("node").alias("a"), F.col("words").alias("words_a"), F.col("group").alias("group_a"))
-    met = lesser.join(rare.select("k", "gram", F.col("node").alias("b"), "words", "group"), ["k", "gram"])
-    aligned(met.where((F.col("group") != F.col("group_a")) & _may(F.col("words"), F.col("words_a"), similarity)).select("a", "b"), "rest")
+    aligned(_open_pairs(texts.join(crowded, "node", "left_semi"), grouped, workspace, similarity), "rest")
     return components
 
 

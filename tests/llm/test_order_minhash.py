@@ -3,6 +3,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from railloom.llm import alignment, order_minhash
 from railloom.llm.common import join_with_hot
@@ -203,6 +204,38 @@ def test_similar_texts_that_share_only_large_buckets_meet(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in got} == want
 
 
+@pytest.mark.parametrize("split", [False, True])
+@pytest.mark.parametrize("similarity", [0.6, 0.8])
+def test_open_pairs_leave_no_similar_pair_out(spark, monkeypatch, similarity, split):
+    if split:  # by further words wherever two groups meet
+        monkeypatch.setattr(order_minhash, "LESSER", 0)
+        monkeypatch.setattr(order_minhash, "WORTH", 0)
+    rng = random.Random(6)
+    texts = []
+    for _ in range(40):  # few words, so that nearly all texts meet
+        base = [rng.choice("abcdefghijklmnop") for _ in range(rng.choice([1, 3, 5, 9, 20, 45]))]
+        texts += [base, *(alter(base, rng.randint(0, len(base) // 3), rng) for _ in range(3))]
+    words = list(word_hashes([" ".join(t) for t in texts]))
+    group = [i % 7 if i < 30 else i for i in range(len(texts))]
+    every = [(i, j) for j in range(len(texts)) for i in range(j) if group[i] != group[j]]
+    want = {p for p, good in zip(every, alignment.similar([(words[i], words[j]) for i, j in every], similarity)) if good and len(words[p[0]]) and len(words[p[1]])}
+    groups = spark.createDataFrame(list(enumerate(group)), "node long, group long")
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts) if t], "node long, text string")
+    got = [tuple(r) for r in order_minhash._open_pairs(docs, lambda d: d.join(groups, "node"), Workspace(spark, "t4"), similarity).select("a", "b").collect()]
+    assert len(want) > 40 and want <= {(min(p), max(p)) for p in got} <= set(every)
+
+
+def test_a_passage_in_many_texts_makes_few_pairs(spark):
+    # two fifths of each text are one passage: three words in a row meet everywhere, the rarest words hardly
+    rng = random.Random(2)
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join([*(f"v{rng.randrange(40_000)}" for _ in range(60)), *passage])) for i in range(600)]
+    rows.append((600, rows[7][1].replace(" ", " more ", 12)))
+    docs = spark.createDataFrame(rows, "node long, text string")
+    got = order_minhash._open_pairs(docs, lambda d: d.withColumn("group", F.col("node")), Workspace(spark, "t4"), 0.8).collect()
+    assert (7, 600) in {(min(r), max(r)) for r in got} and len(got) < 10 * len(rows)
+
+
 @pytest.mark.parametrize("similarity", [0.6, 0.8, 0.9])
 def test_k_mers_in_common_are_a_lower_bound(similarity):
     rng = random.Random(3)
